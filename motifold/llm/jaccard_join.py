@@ -6,11 +6,12 @@ Exact for every pair of different shingle sets, in four steps that each follow t
    min-hashes.  Documents of equal signature are one class; its smallest id stands for it from here on.  The same pass
    counts shingles that repeat within a block of texts: a bounded list of the commonest, used to order n-grams.
 2. *Collapse*.  A class whose min-hashes agree with those of a group's first class is compared with it exactly.  What
-   links forms components, so that a group of thousands of near copies is later met as one.
+   links forms components.  Within such a group, whole sets of different components are then multiplied in tiles, so
+   that a group of thousands of near copies needs no further look at its pairs.
 3. *Product*.  The columns (n-grams) of each row are ordered, common ones last, and only a row's first
    ``n - ceil(t n) + 1`` columns are kept: two sets of similarity t must meet in them, whatever the order.  Columns are
    dealt into blocks; a block multiplies its part of the matrix with its transpose, leaving out pairs of one component
-   and pairs whose sizes rule a link out.  Overlap counts are summed over blocks, and pairs that can't reach the needed
+   and pairs whose sizes, or a common column's places in both rows, rule a link out.  Overlap counts are summed over blocks, and pairs that can't reach the needed
    overlap even if all other columns agreed are dropped.
 4. *Verify*.  The pairs left are compared by their whole sets."""
 
@@ -30,14 +31,16 @@ from .shingles import U, mix, shingles, spans
 
 #: Min-hashes of a profile, and how many must agree for the collapsing step to compare two classes.
 MINS, AGREE = 6, 3
+#: Members of a group that a tile of it holds, about, besides those that aren't of the group's largest component.
+TILE = 512
 #: Shingles that a block of texts counts before it tells which repeat, and how often one must.
-COUNTED, REPEATS = 4_000_000, 4
-#: Most entries of the list of common shingles (16 bytes each).  It orders columns only; results don't depend on it.
-COMMON = 1 << 18
+COUNTED, REPEATS = 4_000_000, 2
+#: Most entries of the list of common shingles (8 bytes each).  It orders columns only; results don't depend on it.
+COMMON = 1 << 20
 #: Matrix entries that a block of columns has, about.
 ENTRIES = 1_000_000
 #: Pairs that a block looks at together.
-TOGETHER = 2_000_000
+TOGETHER = 500_000
 
 _SEEDS = np.random.default_rng(99).integers(1, 1 << 63, MINS, dtype=np.uint64) | U(1)
 
@@ -113,6 +116,36 @@ def _linked(docs: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
     return both.select("a", "b", "of_a", "of_b").mapInArrow(_compare(percent), schema(a=LONG, b=LONG)).distinct()
 
 
+def _tile(percent: int):
+    """Links of a tile's guests with its residents of other components; one for each guest and component is enough."""
+
+    def run(key: tuple[pa.Scalar, ...], parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at_home, guests = [], []
+        for batch in parts:
+            for _, _, rep, comp, guest, members in zip(*batch.columns, strict=True):
+                (guests if guest.as_py() else at_home).append((rep.as_py(), comp.as_py(), np.frombuffer(members.as_buffer(), U).copy()))
+        if not at_home or not guests:
+            return
+        n = np.array([len(x[2]) for x in at_home])
+        cols, row = np.concatenate([x[2] for x in at_home]), np.repeat(np.arange(len(n)), n)
+        order = np.argsort(cols, kind="stable")
+        cols, row = cols[order], row[order]
+        out = set()
+        for rep, comp, s in guests:
+            lo, hi = np.searchsorted(cols, s, "left"), np.searchsorted(cols, s, "right")
+            k = hi - lo
+            met = np.bincount(row[np.arange(k.sum()) - np.repeat(np.cumsum(k) - k, k) + np.repeat(lo, k)], minlength=len(n))
+            found = {}
+            for i in np.flatnonzero(100 * met >= percent * (n + len(s) - met)):
+                if at_home[i][1] != comp:
+                    found.setdefault(at_home[i][1], at_home[i][0])
+            out.update((min(rep, x), max(rep, x)) for x in found.values())
+        a, b = zip(*sorted(out), strict=True) if out else ((), ())
+        yield pa.RecordBatch.from_pydict({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return run
+
+
 def _first_columns(common: np.ndarray, percent: int):
     """Each document's first columns: rarer than those listed (in order of hash), then the listed ones, commonest last."""
     order = np.argsort(common)
@@ -137,25 +170,25 @@ def _first_columns(common: np.ndarray, percent: int):
 
 
 def _deal(blocks: int):
-    """Rows (block, documents, sizes, components, columns) of packed arrays, one for each block and batch."""
+    """Rows (block, documents, sizes, components, entries' documents, places and columns) of packed arrays, one for each block and batch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, n, comp = (np.asarray(batch.column(i)) for i in range(3))
-            cols = [np.frombuffer(x.as_buffer(), U) for x in batch.column(3)]
+            ids, n, comp, group = (np.asarray(batch.column(i)) for i in range(4))
+            cols = [np.frombuffer(x.as_buffer(), U) for x in batch.column(4)]
             row = np.repeat(np.arange(len(cols), dtype=np.int32), [len(x) for x in cols])
             if not len(row):
                 continue
-            h = np.concatenate(cols)
+            h, place = np.concatenate(cols), np.concatenate([np.arange(len(x), dtype=np.int32) for x in cols])
             block = (mix(h) % U(blocks)).astype(np.int32)
             order = np.argsort(block, kind="stable")
             cut = np.flatnonzero(np.diff(block[order])) + 1
             rows = []
             for part in np.split(order, cut):
                 docs, at = np.unique(row[part], return_inverse=True)
-                rows.append((int(block[part[0]]), ids[docs].tobytes(), n[docs].astype(np.int32).tobytes(), comp[docs].tobytes(), at.astype(np.int32).tobytes(), h[part].tobytes()))
+                rows.append((int(block[part[0]]), ids[docs].tobytes(), n[docs].astype(np.int32).tobytes(), comp[docs].tobytes(), group[docs].tobytes(), at.astype(np.int32).tobytes(), place[part].tobytes(), h[part].tobytes()))
             block, *packed = zip(*rows, strict=True)
-            yield pa.RecordBatch.from_arrays([pa.array(block, pa.int32()), *(pa.array(x, pa.binary()) for x in packed)], names=["block", "docs", "sizes", "comps", "at", "cols"])
+            yield pa.RecordBatch.from_arrays([pa.array(block, pa.int32()), *(pa.array(x, pa.binary()) for x in packed)], names=["block", "docs", "sizes", "comps", "groups", "at", "places", "cols"])
 
     return run
 
@@ -164,24 +197,26 @@ def _product(percent: int):
     """Overlap counts within a block of columns, of pairs that lie in different components and whose sizes allow a link."""
 
     def run(key: tuple[pa.Scalar, ...], parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, n, comp, at, h, base = [], [], [], [], [], 0
+        ids, n, comp, group, at, place, h, base = [], [], [], [], [], [], [], 0
         for batch in parts:
-            for _, a, b, c, d, e in zip(*batch.columns, strict=True):
+            for _, a, b, c, g, d, f, e in zip(*batch.columns, strict=True):
                 ids.append(np.frombuffer(a.as_buffer(), np.int64))
                 n.append(np.frombuffer(b.as_buffer(), np.int32))
                 comp.append(np.frombuffer(c.as_buffer(), np.int64))
+                group.append(np.frombuffer(g.as_buffer(), np.int64))
                 at.append(np.frombuffer(d.as_buffer(), np.int32).astype(np.int64) + base)
+                place.append(np.frombuffer(f.as_buffer(), np.int32))
                 h.append(np.frombuffer(e.as_buffer(), U))
                 base += len(ids[-1])
-        ids, n, comp, at, h = (np.concatenate(x) for x in (ids, n, comp, at, h))
+        ids, n, comp, group, at, place, h = (np.concatenate(x) for x in (ids, n, comp, group, at, place, h))
         order = np.argsort(h)
-        h, at = h[order], at[order]
+        h, at, place = h[order], at[order], place[order]
         same = np.zeros(len(h) + 1, bool)
         same[1:-1] = h[1:] == h[:-1]
         several = same[:-1] | same[1:]
-        h, at = h[several], at[several]
+        h, at, place = h[several], at[several], place[several]
         order = np.lexsort((comp[at], h))
-        h, at = h[order], at[order]
+        h, at, place = h[order], at[order], place[order]
         if not len(h):
             return
         edge = np.flatnonzero(np.concatenate([h[1:] != h[:-1], [True]])) + 1
@@ -198,7 +233,10 @@ def _product(percent: int):
             left = np.repeat(np.arange(lo, hi), k)
             right = np.arange(k.sum()) - np.repeat(np.cumsum(k) - k, k) + np.repeat(own_end[lo:hi], k)
             x, y = at[left], at[right]
-            fits = 100 * np.minimum(n[x], n[y]).astype(np.int64) >= percent * np.maximum(n[x], n[y]).astype(np.int64)
+            i, j = place[left], place[right]
+            # what both can have before, at and after a column that is the i-th of one and the j-th of the other
+            fits = np.minimum(i, j) + 1 + np.minimum(n[x] - i, n[y] - j) - 1 >= needed(n[x].astype(np.int64) + n[y], percent)
+            fits &= group[x] != group[y]  # the tiles have compared these
             x, y = x[fits], y[fits]
             new, add = np.unique(np.minimum(x, y) * len(ids) + np.maximum(x, y), return_counts=True)
             keys, back = np.unique(np.concatenate([keys, new]), return_inverse=True)
@@ -239,14 +277,29 @@ def jaccard_components(documents: DataFrame, percent: int = 75) -> DataFrame:
     near, near_at = stored(best.select("a", F.col("rep").alias("b")), "near")
     first_links, first_at = stored(_linked(docs, near, percent), "links")
     labels, labels_at = components(first_links)
+    # and each group's components with one another, by whole sets: what isn't of the largest meets every tile of the group
+    member = near.select(F.col("a").alias("g"), F.col("b").alias("rep")).union(near.select(F.col("a").alias("g"), F.col("a").alias("rep")).distinct())
+    member = member.join(labels.select(F.col("node").alias("rep"), "component"), "rep", "left").select("g", "rep", F.coalesce("component", "rep").alias("comp"))
+    largest = member.groupBy("g", "comp").agg(F.count("*").alias("k")).groupBy("g").agg(F.sum("k").alias("k"), F.count("*").alias("comps"), F.max_by("comp", F.struct("k", "comp")).alias("main")).where("comps > 1")
+    member = member.join(largest, "g").withColumn("tiles", F.ceil(F.col("k") / TILE).cast("int"))
+    home = member.select("g", F.pmod(F.xxhash64("rep"), F.col("tiles")).cast("int").alias("tile"), "rep", "comp", F.lit(False).alias("guest"))
+    guests = member.where("comp != main").select("g", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("tile"), "rep", "comp", F.lit(True).alias("guest"))
+    tiles, tiles_at = stored(home.union(guests), "tiles")
+    sets = docs.select("doc_id", "text", slot("doc_id").alias("s")).mapInArrow(_sets(bitmap(tiles, "rep")), schema(doc_id=LONG, members=BINARY))
+    tiled = tiles.join(sets.withColumnRenamed("doc_id", "rep"), "rep").select("g", "tile", "rep", "comp", "guest", "members").groupBy("g", "tile").applyInArrow(_tile(percent), schema(a=LONG, b=LONG))
+    more_links, more_links_at = stored(first_links.union(tiled).distinct(), "links")
+    discard(spark, first_at, labels_at, tiles_at)
+    labels, labels_at = components(more_links)
+    of_group = near.groupBy(F.col("b").alias("rep")).agg(F.min("a").alias("g"))
 
     # product
     entries = classes.agg(F.sum(kept_columns_sql(percent))).first()[0] or 0
     common = profile.where("common is not null").groupBy("common").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "common").limit(COMMON)
     common = np.array([x[0] for x in common.collect()], np.int64).view(U)
     firsts = docs.mapInArrow(_first_columns(common, percent), schema(doc_id=LONG, sig=BINARY, columns=BINARY))
-    reps = classes.join(labels.select(F.col("node").alias("rep"), "component"), "rep", "left").select(F.col("rep").alias("doc_id"), "sig", F.col("n").alias("size"), F.coalesce("component", "rep").alias("comp"))
-    dealt = firsts.join(reps, ["doc_id", "sig"]).select("doc_id", F.col("size"), "comp", "columns").mapInArrow(_deal(max(32, -(-int(entries) // ENTRIES))), "block int, docs binary, sizes binary, comps binary, at binary, cols binary")
+    reps = classes.join(labels.select(F.col("node").alias("rep"), "component"), "rep", "left").join(of_group, "rep", "left")
+    reps = reps.select(F.col("rep").alias("doc_id"), "sig", F.col("n").alias("size"), F.coalesce("component", "rep").alias("comp"), F.coalesce("g", "rep").alias("g"))
+    dealt = firsts.join(reps, ["doc_id", "sig"]).select("doc_id", "size", "comp", "g", "columns").mapInArrow(_deal(max(32, -(-int(entries) // ENTRIES))), "block int, docs binary, sizes binary, comps binary, groups binary, at binary, places binary, cols binary")
     met = dealt.groupBy("block").applyInArrow(_product(percent), schema(a=LONG, b=LONG, na=INT, nb=INT, met=INT))
     met = met.groupBy("a", "b", "na", "nb").agg(F.sum("met").alias("met"))
     rest = lambda c: F.col(c) - kept_columns_sql(percent, c)
@@ -254,9 +307,9 @@ def jaccard_components(documents: DataFrame, percent: int = 75) -> DataFrame:
     open_pairs, open_at = stored(met.where(F.col("met") + F.greatest(rest("na"), rest("nb")) >= need).where("a != b").select("a", "b"), "pairs")
     of_class = classes.select("sig", "rep")
     one_id = rows.join(of_class, "sig").groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).where("doc_id is not null and a < b").select("a", "b")
-    links = first_links.union(_linked(docs, open_pairs, percent)).union(one_id)
-    labels2, final_at = components(links)
-    discard(spark, near_at, open_at, labels_at, first_at)
+    links = more_links.union(_linked(docs, open_pairs, percent)).union(one_id)
+    labels2, _ = components(links)
+    discard(spark, near_at, open_at, labels_at, more_links_at)
     of_class = of_class.join(labels2.withColumnRenamed("node", "rep"), "rep", "left").select("sig", F.coalesce("component", "rep").alias("component"))
     out = rows.join(of_class, "sig", "left")
     own = F.coalesce("component", "doc_id")
