@@ -254,6 +254,16 @@ def _product(percent: int):
     return run
 
 
+def _commonest(counted: DataFrame) -> np.ndarray:
+    """The commonest shingles, most of all first: those above the least count that COMMON or fewer exceed."""
+    sizes = sorted(counted.groupBy(F.least(F.col("n"), F.lit(10_000)).alias("n")).count().collect(), reverse=True)
+    total = np.cumsum([x[1] for x in sizes])
+    least = next((n for (n, _), t in zip(sizes, total, strict=True) if t > COMMON), 0)
+    found = counted.where(F.col("n") > least).select("common", "n").toArrow()
+    h, n = np.asarray(found.column(0)).view(U), np.asarray(found.column(1))
+    return h[np.lexsort((h, -n))][:COMMON]
+
+
 def jaccard_components(documents: DataFrame, percent: int = 75) -> DataFrame:
     """``doc_id, n_shingles, component_id`` for each row of ``documents`` (columns ``doc_id``, ``text``; others are ignored).
 
@@ -294,8 +304,7 @@ def jaccard_components(documents: DataFrame, percent: int = 75) -> DataFrame:
 
     # product
     entries = classes.agg(F.sum(kept_columns_sql(percent))).first()[0] or 0
-    common = profile.where("common is not null").groupBy("common").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "common").limit(COMMON)
-    common = np.array([x[0] for x in common.collect()], np.int64).view(U)
+    common = _commonest(profile.where("common is not null").groupBy("common").agg(F.sum("n").alias("n")))
     firsts = docs.mapInArrow(_first_columns(common, percent), schema(doc_id=LONG, sig=BINARY, columns=BINARY))
     reps = classes.join(labels.select(F.col("node").alias("rep"), "component"), "rep", "left").join(of_group, "rep", "left")
     reps = reps.select(F.col("rep").alias("doc_id"), "sig", F.col("n").alias("size"), F.coalesce("component", "rep").alias("comp"), F.coalesce("g", "rep").alias("g"))
