@@ -10,6 +10,7 @@ from . import chat_format, html_text, mixing, pii, secrets
 from .decontam import contained_items
 from .jaccard_join import jaccard_components
 from .near_vectors import near_vectors
+from .ngram_lm import language_scores
 from .quality import fit, scored
 from .shared import table
 
@@ -22,6 +23,10 @@ def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.personal_data(table(spark, sf_dir, "documents"))
 
 
+def op3_ngram_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_scores(table(spark, sf_dir, "documents"))
+
+
 def op4_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors(table(spark, sf_dir, "embeddings"))
 
