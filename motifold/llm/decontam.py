@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from .jaccard_join import kept_columns
 from .shared import BINARY, DOUBLE, LONG, schema
-from .shingles import U, ordered, shingles, spans, words
+from .shingles import U, ordered, pieces, shingles, spans, words
 
 #: Shingles of benchmark items in a block (8 bytes each), about.
 BLOCK_SHINGLES = 1_000_000
@@ -50,6 +50,13 @@ class Sketches:
 
     def matches(self, column: pa.Array) -> list[tuple[int, int, int]]:
         """(row, item, shingles that both have) for each pair that holds enough of the item."""
+        out, base = [], 0
+        for part in pieces(column):
+            out += ((base + r, i, n) for r, i, n in self._matches(part))
+            base += len(part)
+        return out
+
+    def _matches(self, column: pa.Array) -> list[tuple[int, int, int]]:
         h, at = words(column)
         if not len(h) or not len(self.key):
             return []

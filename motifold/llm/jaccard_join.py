@@ -34,9 +34,9 @@ MINS, AGREE = 6, 3
 #: Members of a group that a tile of it holds, about, besides those that aren't of the group's largest component.
 TILE = 512
 #: Shingles that a block of texts counts before it tells which repeat, and how often one must.
-COUNTED, REPEATS = 4_000_000, 2
+COUNTED, REPEATS = 1_000_000, 2
 #: Most entries of the list of common shingles (8 bytes each).  It orders columns only; results don't depend on it.
-COMMON = 1 << 20
+COMMON = 1 << 19
 #: Matrix entries that a block of columns has, about.
 ENTRIES = 1_000_000
 #: Pairs that a block looks at together.

@@ -11,7 +11,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-BLOCK = 1 << 20
+#: Bytes that prefix sums run over, and bytes of texts that are taken together.
+BLOCK, PIECE = 1 << 18, 1 << 22
 U = np.uint64
 _BYTE = np.arange(256, dtype=np.uint8)
 _LOWER = np.where((_BYTE >= 65) & (_BYTE <= 90), _BYTE + 32, _BYTE).astype(np.uint8)
@@ -51,8 +52,30 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, np.uint8)[off[0] : off[-1]], off - off[0]
 
 
+def pieces(column: pa.Array) -> Iterator[pa.Array]:
+    """Slices of whole texts, of about PIECE bytes, so that what is worked out for each byte stays small."""
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    _, off = text_bytes(column)
+    at = 0
+    while at < len(column):
+        to = max(at + 1, int(np.searchsorted(off, off[at] + PIECE, "right")) - 1)
+        yield column.slice(at, to - at)
+        at = to
+
+
 def words(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Hash of each word, and how many words the texts before each text have (a row more than texts)."""
+    hashes, at, base = [np.zeros(0, U)], [np.zeros(1, np.int64)], 0
+    for part in pieces(column):
+        h, ends = _words(part)
+        hashes.append(h)
+        at.append(ends[1:] + base)
+        base += len(h)
+    return np.concatenate(hashes), np.concatenate(at)
+
+
+def _words(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     data, off = text_bytes(column)
     space = _SPACE[data]
     start = ~space
@@ -80,9 +103,10 @@ def words(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 def spans(column: pa.Array) -> Iterator[np.ndarray]:
     """For each text the hashes of its words, in order."""
-    h, at = words(column)
-    for i in range(len(at) - 1):
-        yield h[at[i] : at[i + 1]]
+    for part in pieces(column):
+        h, at = _words(part)
+        for i in range(len(at) - 1):
+            yield h[at[i] : at[i + 1]]
 
 
 def shingles(h: np.ndarray, k: int = 5) -> np.ndarray:
