@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import BINARY, INT, LONG, bitmap, discard, schema, slot, stored
+from .shared import BINARY, INT, LONG, bitmap, discard, lean, schema, slot, stored
 from .shingles import U, mix, shingles, spans
 
 #: Min-hashes of a profile, and how many must agree for the collapsing step to compare two classes.
@@ -55,6 +55,7 @@ def kept_columns(n, percent: int):
     return n - -(-percent * n // 100) + 1
 
 
+@lean
 def _profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     held, size = [], 0
 
@@ -85,6 +86,7 @@ def _sets(wanted: bytes):
     """The sets of documents whose bit is set."""
     bits = np.frombuffer(wanted, np.uint8)
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at = np.asarray(batch.column(2))
@@ -96,6 +98,7 @@ def _sets(wanted: bytes):
 
 
 def _compare(percent: int):
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
@@ -119,6 +122,7 @@ def _linked(docs: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
 def _tile(percent: int):
     """Links of a tile's guests with its residents of other components; one for each guest and component is enough."""
 
+    @lean
     def run(key: tuple[pa.Scalar, ...], parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at_home, guests = [], []
         for batch in parts:
@@ -151,6 +155,7 @@ def _first_columns(common: np.ndarray, percent: int):
     order = np.argsort(common)
     listed, rank = common[order], order.astype(np.int64)
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out, sig = [], []
@@ -172,6 +177,7 @@ def _first_columns(common: np.ndarray, percent: int):
 def _deal(blocks: int):
     """Rows (block, documents, sizes, components, entries' documents, places and columns) of packed arrays, one for each block and batch."""
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, n, comp, group = (np.asarray(batch.column(i)) for i in range(4))
@@ -196,6 +202,7 @@ def _deal(blocks: int):
 def _product(percent: int):
     """Overlap counts within a block of columns, of pairs that lie in different components and whose sizes allow a link."""
 
+    @lean
     def run(key: tuple[pa.Scalar, ...], parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, n, comp, group, at, place, h, base = [], [], [], [], [], [], [], 0
         for batch in parts:

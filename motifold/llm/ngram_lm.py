@@ -27,14 +27,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import BINARY, DOUBLE, INT, LONG, discard, schema, stored
+from .shared import BINARY, DOUBLE, INT, LONG, discard, lean, schema, stored
 from .shingles import U, mix, words
 from pyspark.sql import types as T
 
 #: Share of probability that goes to words not seen after a context.
 BETA = 0.4
 #: Tokens that a task packs at once; tokens of a shard, about; most hot contexts.
-PACKED, SHARD, HOT = 2_000_000, 4_000_000, 2000
+PACKED, SHARD, HOT = 1_500_000, 2_500_000, 2000
 START, END = U(0x5354415254), U(0x454E44)
 #: Bits of a successor's fingerprint.
 PRINT = 40
@@ -62,8 +62,8 @@ class EliasFano:
         ones = np.zeros(((int(high[-1]) if n else 0) + n + 8) // 8 * 8, bool)
         ones[high + np.arange(n)] = True
         self.at = [file.tell()]
-        for lo in range(0, n, 1 << 17):  # whole bytes, whatever the width
-            part = values[lo : lo + (1 << 17)]
+        for lo in range(0, n, 1 << 14):  # whole bytes, whatever the width
+            part = values[lo : lo + (1 << 14)]
             bits = (part[:, None] >> np.arange(self.low_bits, dtype=U)) & U(1)
             file.write(np.packbits(bits.astype(bool).ravel(), bitorder="little").tobytes())
         self.at.append(file.write(bytes(8)) + file.tell() - 8)
@@ -184,6 +184,7 @@ def _one(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
 
 
 def _count(shards: int):
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, block in _blocks(batches, 0):
             h, _ = words(block.column(0))
@@ -197,6 +198,7 @@ def _count(shards: int):
     return run
 
 
+@lean
 def _merge(key: tuple[pa.Scalar, ...], parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     u, n = [], []
     for batch in parts:
@@ -211,6 +213,7 @@ def _merge(key: tuple[pa.Scalar, ...], parts: Iterator[pa.RecordBatch]) -> Itera
 def _deal(shards: int, hot: np.ndarray):
     """Events of each block by shard: contexts, successors of each, each text's events as places of pairs."""
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part_id = TaskContext.get().partitionId()
         for number, block in _blocks(batches, 1):
@@ -256,6 +259,7 @@ def _found(rows: list[tuple]) -> pa.RecordBatch:
 
 
 def _score(shards: int, hot: np.ndarray, hot_counts: np.ndarray):
+    @lean
     def run(key: tuple[pa.Scalar, ...], parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = [b for b in parts if b.num_rows]
         blocks = [(r[1].as_py(), *r[2:]) for b in held for r in zip(*b.columns, strict=True)]
@@ -313,6 +317,7 @@ def _score(shards: int, hot: np.ndarray, hot_counts: np.ndarray):
 
 
 def _back_off(scale: float):
+    @lean
     def run(key: tuple[pa.Scalar, ...], parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = [r for b in parts for r in zip(*b.columns, strict=True)]
         known = [r for r in rows if r[0].as_py() == 2]
@@ -335,6 +340,7 @@ def _back_off(scale: float):
 def _sum(n: int, scale: float, ends: int):
     """Sums of each text of a block, from all shards and the block's own list of texts."""
 
+    @lean
     def run(key: tuple[pa.Scalar, ...], parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, held, size, got = None, None, None, []
         for batch in parts:
@@ -355,6 +361,7 @@ def _sum(n: int, scale: float, ends: int):
     return run
 
 
+@lean
 def _lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Each block's texts: ids, folds and sizes."""
     part_id = TaskContext.get().partitionId()

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import tempfile
 import uuid
 
+import pyarrow as pa
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -38,6 +42,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def lean(run):
+    """Have a task's Python function give memory back when it ends: workers live on, and hold what their allocators keep."""
+
+    @functools.wraps(run)
+    def wrapped(*args):
+        try:
+            yield from run(*args)
+        finally:
+            pa.default_memory_pool().release_unused()
+            try:
+                ctypes.CDLL(None).malloc_trim(0)
+            except AttributeError:  # not glibc
+                pass
+
+    return wrapped
+
+
 #: Bits of the bitmaps that stand for sets of ids; 2 MB, whatever the input.
 BITMAP_BITS = 1 << 24
 
