@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import contextlib
 import ctypes
-import functools
+import inspect
 import tempfile
+import typing
 import uuid
 
 import pyarrow as pa
@@ -45,17 +47,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def lean(run):
     """Have a task's Python function give memory back when it ends: workers live on, and hold what their allocators keep."""
 
-    @functools.wraps(run)
-    def wrapped(*args):
+    def freed(*args):
         try:
             yield from run(*args)
         finally:
             pa.default_memory_pool().release_unused()
-            try:
+            with contextlib.suppress(AttributeError):  # not glibc
                 ctypes.CDLL(None).malloc_trim(0)
-            except AttributeError:  # not glibc
-                pass
 
+    # Spark reads how many arguments there are, and their types
+    wrapped = (lambda key, parts: freed(key, parts)) if len(inspect.signature(run).parameters) == 2 else (lambda batches: freed(batches))
+    wrapped.__annotations__ = typing.get_type_hints(run)
     return wrapped
 
 
