@@ -128,7 +128,9 @@ class Trie:
         contexts = v[first]
         index = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(v))))
         seen = np.log10((1 - BETA) * count / np.maximum(total, 1))
-        self.book = np.quantile(seen, (np.arange(256) + 0.5) / 256) if len(seen) else np.zeros(256)
+        self.book = np.unique(seen)
+        if len(self.book) > 256:
+            self.book = np.quantile(seen, np.linspace(0, 1, 256))
         with tempfile.TemporaryFile() as file:
             self.roots = EliasFano(contexts, file)
             self.pointers = EliasFano(np.append(first, len(v)).astype(U), file)
