@@ -39,6 +39,8 @@ COUNTED, REPEATS = 1_000_000, 2
 COMMON = 1 << 19
 #: Matrix entries that a block of columns has, about.
 ENTRIES = 1_000_000
+#: Blocks at least.  A pair is told once by each block that it meets in.
+BLOCKS = 6
 #: Pairs that a block looks at together.
 TOGETHER = 500_000
 
@@ -315,7 +317,7 @@ def jaccard_components(documents: DataFrame, percent: int = 75) -> DataFrame:
     firsts = docs.mapInArrow(_first_columns(common, percent), schema(doc_id=LONG, sig=BINARY, columns=BINARY))
     reps = classes.join(labels.select(F.col("node").alias("rep"), "component"), "rep", "left").join(of_group, "rep", "left")
     reps = reps.select(F.col("rep").alias("doc_id"), "sig", F.col("n").alias("size"), F.coalesce("component", "rep").alias("comp"), F.coalesce("g", "rep").alias("g"))
-    dealt = firsts.join(reps, ["doc_id", "sig"]).select("doc_id", "size", "comp", "g", "columns").mapInArrow(_deal(max(32, -(-int(entries) // ENTRIES))), "block int, docs binary, sizes binary, comps binary, groups binary, at binary, places binary, cols binary")
+    dealt = firsts.join(reps, ["doc_id", "sig"]).select("doc_id", "size", "comp", "g", "columns").mapInArrow(_deal(max(BLOCKS, -(-int(entries) // ENTRIES))), "block int, docs binary, sizes binary, comps binary, groups binary, at binary, places binary, cols binary")
     met = dealt.groupBy("block").applyInArrow(_product(percent), schema(a=LONG, b=LONG, na=INT, nb=INT, met=INT))
     met = met.groupBy("a", "b", "na", "nb").agg(F.sum("met").alias("met"))
     rest = lambda c: F.col(c) - kept_columns_sql(percent, c)
