@@ -21,11 +21,15 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group stays, the one of smallest id; of rows that share that id, one.  Rows without an id stay."""
-    found = jaccard_components(docs).select("doc_id", "component_id")
-    gone, _ = stored(found.where("doc_id <> component_id").select("doc_id").distinct(), "gone")
-    kept = docs.select(*COLUMNS).join(gone, "doc_id", "left_anti")
-    return kept
+    """One document of each group stays, the one of smallest id; of rows that share an id, one.  Rows without an id stay."""
+    found, _ = stored(jaccard_components(docs).select("doc_id", "component_id").where("doc_id is not null"), "components")
+    kept = docs.select(*COLUMNS).join(found.where("doc_id <> component_id").select("doc_id").distinct(), "doc_id", "left_anti").select(*COLUMNS)
+    again, _ = stored(found.groupBy("doc_id").count().where("count > 1").select("doc_id"), "again")
+    if again.head() is None:
+        return kept
+    rest = F.struct(*(c for c in COLUMNS if c != "doc_id"))
+    one = kept.join(again, "doc_id", "left_semi").groupBy("doc_id").agg(F.min(rest).alias("x")).select("doc_id", "x.*").select(*COLUMNS)
+    return kept.join(again, "doc_id", "left_anti").select(*COLUMNS).unionByName(one)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
