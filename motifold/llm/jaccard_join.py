@@ -30,7 +30,7 @@ from .shared import BINARY, INT, LONG, bitmap, discard, lean, schema, slot, stor
 from .shingles import U, mix, shingles, spans
 
 #: Min-hashes of a profile, and how many must agree for the collapsing step to compare two classes.
-MINS, AGREE = 6, 3
+MINS, AGREE = 8, 3
 #: Members of a group that a tile of it holds, about, besides those that aren't of the group's largest component.
 TILE = 512
 #: Shingles that a block of texts counts before it tells which repeat, and how often one must.
