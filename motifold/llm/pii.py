@@ -45,9 +45,6 @@ _BRACKETS = re.compile(rf"(?i)(?<=[A-Za-z0-9])\s*(?:({_AT})|({_DOT}))\s*(?=[A-Za
 _SPOKEN = re.compile(r"(?i)(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]*[A-Za-z0-9](?:\s+at\s+|\s*@\s*)[A-Za-z0-9-]+(?:(?:\s+dot\s+|\.)[A-Za-z0-9-]+)+")
 _SPOKEN_IP = re.compile(r"(?i)(?<![0-9.])[0-9]{1,3}(?:\s+dot\s+[0-9]{1,3}){3}(?![0-9.])")
 _SAID_AT, _SAID_DOT = re.compile(r"(?i)\s+at\s+|\s*@\s*"), re.compile(r"(?i)\s+dot\s+")
-#: What a text needs for each rewriting, besides characters that look like others: tested on lower-cased text.
-_THREE_NAMES = re.compile(rf"\b{_NAME}[\s,.-]+(?:{_NAME}|[0-9]+)[\s,.-]+(?:{_NAME}|[0-9]+)[\s,.-]")
-_BRACKETED = re.compile(r"[\[({<]\s*(?:at|arroba|@|dot|punto|point|punkt|\.)\s*[\])}>]")
 #: Top-level domains that spoken addresses end in.
 _TOP = frozenset("com org net edu gov mil int info biz name io co ai app dev me tv us uk de fr es it nl be ch at eu ru cn jp in br mx ca au".split())
 _DIGIT = re.compile("[0-9]")
@@ -130,17 +127,16 @@ def disguised_spans(text: str, base: list[tuple[int, int, int]], odd: bool = Tru
     """Spans that only show once disguises are undone, in source offsets; none lies in a base span of its kind.
 
     ``odd``: whether the text may hold characters that look like others."""
-    lower = text.lower()
-    odd = odd and _CHARS.search(text)
-    if not (odd or " dot " in lower or _BRACKETED.search(lower) or _THREE_NAMES.search(lower)):
-        return []
     tape = Tape(text)
-    tape.apply(_CHARS, lambda m: [(*m.span(), _ALIKE.get(m[0], ""))])
+    if odd:
+        tape.apply(_CHARS, lambda m: [(*m.span(), _ALIKE.get(m[0], ""))])
     tape.apply(_PLUS, lambda m: [(*m.span(), "+")])
     tape.apply(_BRACKETS, lambda m: [(*m.span(), "@" if m[1] else ".")])
     tape.apply(_SPOKEN, _spoken)
     tape.apply(_SPELLED, _spelled)
     tape.apply(_SPOKEN_IP, lambda m: [(m.start() + x.start(), m.start() + x.end(), ".") for x in _SAID_DOT.finditer(m[0])])
+    if not tape.new.any():  # no span is kept without a rewritten character
+        return []
     found = base_spans(tape.text)
     runs = ((3, *m.span()) for m in re.finditer(r"(?<![0-9+])[0-9]{7,15}(?![0-9])", tape.text) if tape.new[m.start() : m.end()].all() and text[tape.start[m.start()]].isalpha())
     taken = [*base]

@@ -216,6 +216,33 @@ def test_pii():
         assert found(clean) == (set(), set())
 
 
+@pytest.mark.parametrize(
+    "text, kind, span",
+    [
+        ("write to jane.doe @ mail.example.com today", "email", "jane.doe @ mail.example.com"),
+        ("write to jane.doe@ mail.example.com today", "email", "jane.doe@ mail.example.com"),
+        ("call plus 49 30 1234567 now", "phone", "plus 49 30 1234567"),
+        ("jane at mail dot\nexample dot\ncom", "email", "jane at mail dot\nexample dot\ncom"),
+        ("jane at mail\tdot\texample\tdot\tcom", "email", "jane at mail\tdot\texample\tdot\tcom"),
+        ("jane at mail.example.com", "email", None),
+        ("10\tdot\t0\tdot\t0\tdot\t7", "ip", "10\tdot\t0\tdot\t0\tdot\t7"),
+        ("at 192.168.1.one two three", "ip", "192.168.1.one two three"),
+        ("bob [at] mail.example.com", "email", "bob [at] mail.example.com"),
+        ("ＢＯＢ＠mail.example.com", "email", "ＢＯＢ＠mail.example.com"),
+    ],
+)
+def test_pii_disguise_alone(text, kind, span):
+    """A span doesn't depend on text that has nothing to do with it."""
+    from motifold.llm.pii import KINDS, base_spans, disguised_spans
+
+    def found(text):
+        return {(KINDS[k], text[a:b]) for k, a, b in disguised_spans(text, base_spans(text))}
+
+    assert found(text) == ({(kind, span)} if span else set())
+    for other in (" ; see dot here", " ; see (at) here", " ; one, two, three, ;"):
+        assert found(text + other) == found(text)
+
+
 def test_pii_query(spark, docs, rows):
     from motifold.llm.pii import base_spans, personal_data, written
 
