@@ -128,6 +128,34 @@ def catalyst(contigs: DataFrame, patterns: list[Pattern], tile: int = 512) -> Da
     return found.withColumn("pos", F.col("tile_start") + F.col("in_tile")).select(*KEYS, "pos", "len", "is_forward", "is_canonical", "seq").withColumn("abs_pos", F.col("contig_start") + F.col("pos"))
 
 
+def distance_counts(contigs: DataFrame, motifs: list[str], tile: int = TILE) -> DataFrame:
+    """``seq_pos, distance, n``: at how many places of its contigs, overlaps included, a sequence differs by so many bases
+    from the nearest of ``motifs``, which have one length."""
+    k, coded = len(motifs[0]), [np.frombuffer(m.encode(), np.uint8) for m in motifs]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            column = batch.column(1).cast(pa.large_binary()).fill_null(b"")
+            _, offsets, data = column.buffers()
+            off = np.frombuffer(offsets, np.int64)[column.offset : column.offset + len(column) + 1]
+            data = np.frombuffer(data, np.uint8)[off[0] : off[-1]] if data is not None and len(column) else np.zeros(0, np.uint8)
+            off = off - off[0]
+            n = max(0, len(data) - k + 1)
+            nearest = np.full(n, k, np.uint8)
+            for motif in coded:
+                nearest = np.minimum(nearest, sum(((data[j : j + n] != c).astype(np.uint8) for j, c in enumerate(motif)), np.zeros(n, np.uint8)))
+            row = np.repeat(np.arange(len(column)), np.diff(off))[:n]
+            place = np.arange(n)
+            own = (place + k <= off[row + 1]) & (place - off[row] < tile)
+            counts = np.bincount(row[own] * (k + 1) + nearest[own], minlength=len(column) * (k + 1))
+            at = np.flatnonzero(counts)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at // (k + 1))), pa.array((at % (k + 1)).astype(np.int32)), pa.array(counts[at])], names=["seq_pos", "distance", "n"])
+
+    cut = tiles(contigs, k, tile).select("seq_pos", "bases")
+    found = cut.mapInArrow(run, f"seq_pos {cut.schema['seq_pos'].dataType.simpleString()}, distance int, n long")
+    return found.groupBy("seq_pos", "distance").agg(F.sum("n").alias("n"))
+
+
 def in_tips(found: DataFrame, limit: int) -> DataFrame:
     """Matches that lie wholly in the first or last ``limit`` bases of their contig; all if it is no longer than both."""
     n = F.col("contig_len")

@@ -100,6 +100,20 @@ def hamming_to_canonical(spark, sf):
     return sequences(spark, sf).where("length(seq) >= 6").select(F.col("seq_pos").alias("doc_id"), X.hamming(head, F.lit("CCCTAA")).alias("d_forward"), X.hamming(head, F.lit("TTAGGG")).alias("d_reverse"))
 
 
+@query(
+    "hamming_kmers",
+    chain(
+        """SELECT doc_id, least(hamming(k, 'CCCTAA'), hamming(k, 'TTAGGG'))::INT AS distance, count(*) AS n
+FROM (SELECT doc_id, substr(tile, o + 1, 6) AS k FROM tiles, unnest(range(least(500, length(tile) - 5))) AS u(o)) GROUP BY ALL""",
+        PARTS,
+        "tiles AS (SELECT doc_id, substr(bases, t0 + 1, 505) AS tile FROM contigs, unnest(range(0, n, 500)) AS u(t0) WHERE n - t0 >= 6)",
+    ),
+)
+def hamming_kmers(spark, sf):
+    """Every 6-mer of every contig; ``hamming_to_canonical`` takes the first of each text only."""
+    return matches.distance_counts(scan(spark, sf, EXACT).contigs, ["CCCTAA", "TTAGGG"]).select(F.col("seq_pos").alias("doc_id"), "distance", "n")
+
+
 # contigs, islands, blocks --------------------------------------------------------------------------------------------
 
 

@@ -55,6 +55,18 @@ def test_kernels_agree(spark, patterns):
         assert Counter(map(tuple, got)) == want
 
 
+def test_distances_of_all_places(spark):
+    seqs = random_sequences(4)
+    contigs = Scan(frame(spark, seqs), ScanConfig()).contigs.cache()
+    want = Counter()
+    for i, s in enumerate(seqs):
+        for contig in (s or "").split("N"):
+            for a in range(len(contig) - 5):
+                want[i, min(sum(x != y for x, y in zip(contig[a : a + 6], m, strict=True)) for m in ("CCCTAA", "TTAGGG"))] += 1
+    for tile in (1 << 16, 64, 19):
+        assert Counter({tuple(r)[:2]: r["n"] for r in matches.distance_counts(contigs, ["CCCTAA", "TTAGGG"], tile).collect()}) == want
+
+
 def test_partitioning_changes_nothing(spark):
     seqs = frame(spark, random_sequences(2, 30))
     c = ScanConfig(min_block_length=30, its=True, window=200, step=100)
