@@ -2,8 +2,8 @@
 temperature-calibrated probabilities.
 
 A word that the fitting rows hold often has a row of its own, any other word the row of its shape (letters by case,
-digits and punctuation, runs shortened).  Every row has a sparse ternary index vector drawn from a hash of its name; its
-word vector adds the index vectors of its neighbours within two words.  A document is the mean of its words' vectors.
+digits and punctuation, runs shortened); a long word or shape is many pieces, each with the row of its shape.  Every row has a sparse ternary index vector drawn from a hash of its name; its
+word vector adds the index vectors of its neighbours within two words.  A document is the mean of its words' (and pieces') vectors.
 Only the fit is bounded (``FIT_ROWS`` labelled rows, chosen by a hash of their ids); every text is scored whole."""
 
 from __future__ import annotations
@@ -26,16 +26,22 @@ DIM, NONZERO, NEAR, HIDDEN, STEPS = 128, 8, 2, 32, 400
 GOOD = 0.7
 #: Words whose rows an executor remembers.
 REMEMBERED = 1 << 18
+#: Characters of a word whose shape is taken at once; longer words are not remembered.
+PIECE = 48
 
 _SHAPE = [(regex.compile(r"\p{Lu}+"), "A"), (regex.compile(r"[\p{L}--A]+", regex.V1), "a"), (regex.compile(r"\p{N}+"), "0"), (regex.compile(r"(.)\1+"), r"\1\1")]
 AGAIN = "\x00again"
 
 
-def shape(word: str) -> str:
-    word = word[:48] if len(word) > 48 else word  # of a word without a row only the kind of its start matters
-    for pattern, by in _SHAPE:
-        word = pattern.sub(by, word)
-    return "\x00" + word[:8]
+def shapes(word: str) -> list[str]:
+    """Shapes of a word's pieces, which are all of it: of 48 characters at most, then of 8 characters of a shape."""
+    out = []
+    for lo in range(0, len(word), PIECE):
+        piece = word[lo : lo + PIECE]
+        for pattern, by in _SHAPE:
+            piece = pattern.sub(by, piece)
+        out += ("\x00" + piece[i : i + 8] for i in range(0, len(piece), 8))
+    return out
 
 
 def _index(names: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -48,18 +54,41 @@ def _index(names: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Rows(dict):
-    """Row of a word."""
+    """Row of a word; for one of many pieces, -1 less its place in ``many``, which has their rows."""
 
     def __init__(self, words: list[str], shapes: list[str]):
         super().__init__((w, i) for i, w in enumerate(words))
         self.known, self.shapes, self.other = dict(self), {s: len(words) + i for i, s in enumerate(shapes)}, len(words) + len(shapes)
+        self.many: list[list[int]] = []
+        self.pieces = 0
 
     def __missing__(self, word: str) -> int:
-        if len(self) > REMEMBERED:
+        found = [self.shapes.get(s, self.other) for s in shapes(word)]
+        row = found[0]
+        if len(found) > 1:
+            row = -1 - len(self.many)
+            self.many.append(found)
+            self.pieces += len(found)
+        if len(word) <= PIECE:
+            self[word] = row
+        return row
+
+    def of(self, words: list[str]) -> np.ndarray:
+        """Rows of words and pieces, in order."""
+        if len(self) + self.pieces > REMEMBERED + len(self.known):
             self.clear()
             self.update(self.known)
-        row = self[word] = self.shapes.get(shape(word), self.other)
-        return row
+            self.many, self.pieces = [], 0
+        rows = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
+        at = np.flatnonzero(rows < 0)
+        if not len(at):
+            return rows
+        found = [self.many[-1 - i] for i in rows[at]]
+        sizes = np.ones(len(rows), np.int64)
+        sizes[at] = [len(x) for x in found]
+        out = np.repeat(rows, sizes)
+        out[out < 0] = np.concatenate(found)
+        return out
 
 
 class Model:
@@ -70,7 +99,7 @@ class Model:
                 counts[w] = counts.get(w, 0) + 1
         words = sorted(counts, key=lambda w: (-counts[w], w))[:MOST_WORDS]
         self.words = [w for w in words if counts[w] >= LEAST]
-        self.shapes = sorted({shape(w) for w in counts})
+        self.shapes = sorted({s for w in counts for s in shapes(w)})
         rows = Rows(self.words, self.shapes)
         names = [*self.words, *self.shapes, "\x00other", AGAIN]
         at, sign = _index(names)
@@ -78,14 +107,14 @@ class Model:
         np.put_along_axis(base, at, sign, 1)
         near = np.zeros(len(names) * DIM)
         for text in texts:
-            r = np.fromiter(map(rows.__getitem__, text.split()), np.int64)
+            r = rows.of(text.split())
             for k in range(1, NEAR + 1):
                 for x, y in ((r[:-k], r[k:]), (r[k:], r[:-k])):
                     if len(x):
                         np.add.at(near, (x[:, None] * DIM + at[y]).ravel(), sign[y].ravel())
         near = near.reshape(len(names), DIM).astype(np.float32)
-        own = np.array([_shape_of(n, rows) for n in names])
-        base += np.where(own[:, None] >= 0, base[own], 0)  # a word with a row also has its shape's vector
+        for i, w in enumerate(self.words):  # a word with a row also has its shape's vector, the mean of its pieces'
+            base[i] += base[[rows.shapes[s] for s in shapes(w)]].mean(0)
         self.vectors = base + near / np.maximum(np.linalg.norm(near, axis=1, keepdims=True), 1e-9)
         self._rows = rows
         x = np.stack([self.pooled(t) for t in texts]) if texts else np.zeros((0, DIM + 1), np.float32)
@@ -127,9 +156,10 @@ class Model:
         if not words:
             return out
         rows = self._rows or self._start()
-        u, n = np.unique(np.fromiter(map(rows.__getitem__, words), np.int32, len(words)), return_counts=True)
+        r = rows.of(words)
+        u, n = np.unique(r.astype(np.int32), return_counts=True)
         again = sum(map(str.__eq__, words, words[1:]))
-        out[:DIM] = (n.astype(np.float32) @ self.vectors[u] + again * self.vectors[-1]) / len(words)
+        out[:DIM] = (n.astype(np.float32) @ self.vectors[u] + again * self.vectors[-1]) / len(r)
         out[DIM] = again / len(words)
         return out
 
@@ -144,10 +174,6 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(self._logit(z) / self.temperature, -30, 30)))
 
 
-def _shape_of(name: str, rows: Rows) -> int:
-    return -1 if name.startswith("\x00") else rows.shapes.get(shape(name), -1)
-
-
 def held_out(col: str = "doc_id") -> F.Column:
     """Rows that no fit may see."""
     return F.coalesce(F.crc32(F.col(col).cast("string").cast("binary")) % 4 == 2, F.lit(False))

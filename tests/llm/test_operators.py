@@ -252,6 +252,25 @@ def test_pii_query(spark, docs, rows):
     assert personal_data(empty(spark)).count() == 0
 
 
+def test_quality_long_words():
+    """All of a text without white space counts, and all of a long shape."""
+    from motifold.llm.quality import REMEMBERED, Model, Rows, shapes
+
+    rng = random.Random(3)
+    good, bad = [" ".join(rng.choice(["plain", "words", "A"]) for _ in range(30)) for _ in range(40)], ["x;1" * 40 + "a" * rng.randint(1, 99) + " ;" for _ in range(40)]
+    model = Model(good + bad, np.array([1] * 40 + [0] * 40))
+    start = "a" * 48
+    assert not np.allclose(model.pooled(start + "b" * 480), model.pooled(start + "x;1" * 160))
+    assert not np.allclose(model.pooled("a-" * 4 + "A"), model.pooled("a-" * 4 + ";"))
+    assert shapes("b" * 100) == ["\x00a"] * 3 and shapes("Abc1") == ["\x00Aa0"]
+    rows = Rows(["w"], ["\x00a", "\x000"])
+    for text in (["w", "b" * 48 + "1" * 60, "w", "9"], ["zz", "b" * 60]):
+        want = [0 if w == "w" else {"\x00a": 1, "\x000": 2}[s] for w in text for s in (["w"] if w == "w" else shapes(w))]
+        assert list(rows.of(text)) == want == list(rows.of(text))
+    rows.pieces = REMEMBERED + 2
+    assert list(rows.of(["w", "b" * 60])) == [0, 1, 1] and not rows.keys() - {"w"}
+
+
 def test_language_scores(spark, docs, rows, monkeypatch):
     from motifold.llm import ngram_lm
 
