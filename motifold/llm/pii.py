@@ -45,7 +45,7 @@ _BRACKETS = re.compile(rf"(?i)(?<=[A-Za-z0-9])\s*(?:({_AT})|({_DOT}))\s*(?=[A-Za
 _SPOKEN = re.compile(r"(?i)(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]*[A-Za-z0-9](?:\s+at\s+|\s*@\s*)[A-Za-z0-9-]+(?:(?:\s+dot\s+|\.)[A-Za-z0-9-]+)+")
 _SPOKEN_IP = re.compile(r"(?i)(?<![0-9.])[0-9]{1,3}(?:\s+dot\s+[0-9]{1,3}){3}(?![0-9.])")
 _SAID_AT, _SAID_DOT = re.compile(r"(?i)\s+at\s+|\s*@\s*"), re.compile(r"(?i)\s+dot\s+")
-#: Top-level domains that spoken addresses end in.
+#: Top-level domains that addresses end in of which only a part is spoken.
 _TOP = frozenset("com org net edu gov mil int info biz name io co ai app dev me tv us uk de fr es it nl be ch at eu ru cn jp in br mx ca au".split())
 _DIGIT = re.compile("[0-9]")
 
@@ -115,12 +115,15 @@ def _spelled(m: re.Match) -> list[tuple[int, int, str]]:
 
 
 def _spoken(m: re.Match) -> list[tuple[int, int, str]]:
-    """``name at host dot com``: only where a known top-level domain ends it and something in it is spoken."""
-    if m[0].lower().rsplit(None, 1)[-1].rsplit(".", 1)[-1] not in _TOP:
-        return []
+    """``name at host dot com``: only where something in it is spoken and a known top-level domain ends it, or any letters
+    if both at and dot are spoken."""
+    last = m[0].lower().rsplit(None, 1)[-1].rsplit(".", 1)[-1]
     dots = [(m.start() + x.start(), m.start() + x.end(), ".") for x in _SAID_DOT.finditer(m[0])]
     at = _SAID_AT.search(m[0])
-    return [(m.start() + at.start(), m.start() + at.end(), "@"), *(d for d in dots if d[0] >= m.start() + at.end())] if dots or "@" in at[0] else []
+    dots = [d for d in dots if d[0] >= m.start() + at.end()]
+    if last not in _TOP and not (dots and "@" not in at[0] and len(last) >= 2 and last.isalpha()):
+        return []
+    return [(m.start() + at.start(), m.start() + at.end(), "@"), *dots] if dots or "@" in at[0] else []
 
 
 def disguised_spans(text: str, base: list[tuple[int, int, int]], odd: bool = True) -> list[tuple[int, int, int]]:

@@ -243,6 +243,15 @@ def test_pii_disguise_alone(text, kind, span):
         assert found(text + other) == found(text)
 
 
+@pytest.mark.parametrize("top", ["pl", "se", "cz", "pt", "dk", "no", "ie", "kr", "museum", "com"])
+def test_pii_spoken_domains(top):
+    from motifold.llm.pii import disguised_spans
+
+    said = f"bob at mail dot example dot {top}"
+    assert disguised_spans(f"ask {said}, then", []) == [(0, 4, 4 + len(said))]
+    assert disguised_spans("bob at mail dot example dot 7", []) == disguised_spans("bob at mail dot x", []) == []
+
+
 def test_pii_query(spark, docs, rows):
     from motifold.llm.pii import base_spans, personal_data, written
 
