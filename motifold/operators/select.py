@@ -43,7 +43,7 @@ def unmatched_prefixes(prefixes: DataFrame, records: DataFrame, name: str = "hea
     """Prefixes (column ``prefix``, few) that no record starts with.
 
     Records are cut to the lengths that prefixes have, so this is an equi-join."""
-    lengths = F.broadcast(prefixes.select(F.length("prefix").alias("n")).distinct().limit(1024))
+    lengths = prefixes.select(F.length("prefix").alias("n")).distinct()
     heads = records.select(name).join(lengths, F.length(name) >= F.col("n")).select(F.substr(name, F.lit(1), F.col("n")).alias("prefix")).distinct()
     return prefixes.select("prefix").distinct().join(heads, "prefix", "left_anti")
 

@@ -129,6 +129,12 @@ def test_selection(spark):
         select.checked(records.union(records.limit(1)))
 
 
+def test_prefixes_of_many_lengths(spark):
+    records = spark.createDataFrame([("a" * 1100,), ("b",), (None,)], "header string")
+    prefixes = spark.createDataFrame([("a" * n,) for n in range(1, 1102)] + [("c" * 1050,)], "prefix string")
+    assert sorted(r[0] for r in select.unmatched_prefixes(prefixes, records).collect()) == ["a" * 1101, "c" * 1050]
+
+
 def test_overlaps(spark):
     rng = random.Random(6)
     draw = lambda n: [(rng.choice("ab"), s := rng.randint(0, 3000), s + rng.randint(0, 900)) for _ in range(n)]
