@@ -7,7 +7,7 @@ import re
 from collections import Counter
 
 import pytest
-from test_operators import components, shingle_set
+from test_llm_operators import components, shingle_set
 
 from pyspark.sql import functions as F
 
