@@ -7,6 +7,9 @@ and on stretches of SCOPE characters, whose size bounds what can meet in one pla
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -21,12 +24,15 @@ KINDS = (
     ("access", r"AKIA[A-Z0-9]{16,}", "identifier"),
     ("hex", r"[0-9a-f]{24,}", "secret"),
     ("name", r"(?i)(?:access_?key_?id|client_?id|user_?name|login)[\"']?\x20*[:=]\x20*[\"']?[A-Za-z0-9_.@-]{4,}", "identifier"),
-    ("mixed", r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z0-9+/_-]{0,80}[0-9])(?=[A-Za-z0-9+/_-]{0,80}[a-z])(?=[A-Za-z0-9+/_-]{0,80}[A-Z])[A-Za-z0-9+/_-]{32,}={0,2}", "secret"),
+    ("mixed", r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{32,}={0,2}", "secret"),
     ("endpoint", r"(?i)(?:https?|wss?|ftps?|postgres(?:ql)?|mysql|mongodb(?:\+srv)?|rediss?|amqps?|s3)://[^\s\"'<>]+", "endpoint"),
 )
 STRONG = 3
+#: What a match of ``mixed`` must hold, anywhere in it.
+MIXED = ("[0-9]", "[a-z]", "[A-Z]")
 #: What a weak part needs in its scope.
 NEEDS = {"identifier": ("secret",), "secret": ("identifier", "endpoint"), "endpoint": ("secret",)}
+SPANS = "array<struct<start:int,kind:int,end:int,counts:boolean>>"
 #: A text without any of these has no candidate.
 ANY = r"(?i:passw|secret|token|api_?key|_?key_?id|client_?id|user_?name|login|://)|AKIA|[0-9a-f]{24}|[A-Za-z0-9+/_-]{32}"
 
@@ -35,28 +41,34 @@ def _spans(kind: int, pattern: str) -> Column:
     """Array of (start, kind, end, size of group 2), leftmost matches that don't overlap.
 
     Matching longer runs only ({16,}, {24,}) gives what matching all runs and dropping the short ones gives, as such a
-    run has one maximal extent; ``assign`` is matched whole and filtered, as a dropped match still takes its text."""
-    text = F.col("text")
+    run has one maximal extent; ``assign`` and ``mixed`` are matched whole and filtered, as a dropped match still takes
+    its text."""
+    text, name = F.col("text"), KINDS[kind][0]
     between, found = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    value = F.regexp_extract_all(text, F.lit(pattern), F.lit(2)) if KINDS[kind][0] == "assign" else F.transform(found, lambda _: F.lit("long enough"))
-    both = F.arrays_zip(F.slice(between, 1, F.size(found)).alias("gap"), found.alias("hit"), value.alias("value"))
-    start = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<struct<start:int,kind:int,end:int,long:int>>)").alias("spans"))
+    if name == "assign":
+        counts = F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(2)), lambda x: F.length(x) >= 6)
+    else:
+        counts = F.transform(found, lambda x: reduce(and_, (x.rlike(p) for p in MIXED)) if name == "mixed" else F.lit(True))
+    both = F.arrays_zip(F.slice(between, 1, F.size(found)).alias("gap"), found.alias("hit"), counts.alias("counts"))
+    start = F.struct(F.lit(0).alias("at"), F.expr(f"cast(array() as {SPANS})").alias("spans"))
 
     def step(state: Column, x: Column) -> Column:
         s = state["at"] + F.length(x["gap"])
         e = s + F.length(x["hit"])
-        span = F.struct(s.alias("start"), F.lit(kind).alias("kind"), e.alias("end"), F.length(x["value"]).alias("long"))
+        span = F.struct(s.alias("start"), F.lit(kind).alias("kind"), e.alias("end"), x["counts"].alias("counts"))
         return F.struct(e.alias("at"), F.concat(state["spans"], F.array(span)).alias("spans"))
 
-    return F.filter(F.aggregate(both, start, step, lambda s: s["spans"]), lambda x: x["long"] >= 6)
+    return F.filter(F.aggregate(both, start, step, lambda s: s["spans"]), lambda x: x["counts"])
 
 
 def candidates(documents: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
-    """``row, doc_id, spans`` of each row: all candidates of all kinds.  Texts that can hold none are looked at once."""
-    none = F.expr("cast(array() as array<struct<start:int,kind:int,end:int,long:int>>)")
-    base = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), *(F.col(c).alias(f"keep_{c}") for c in keep))
+    """``row, doc_id, spans, kept`` of each row: all candidates of all kinds, and a struct of the columns ``keep``, whose
+    names clash with nothing in there.  Texts that can hold none are looked at once."""
+    none = F.expr(f"cast(array() as {SPANS})")
+    kept = F.struct(*(F.col(f"`{c}`") for c in keep)) if keep else F.lit(None).cast("boolean")
+    base = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), kept.alias("kept"))
     found = F.when(F.col("text").rlike(ANY), F.concat(*(_spans(k, p) for k, (_, p, _) in enumerate(KINDS)))).otherwise(none)
-    return base.select(F.monotonically_increasing_id().alias("row"), "doc_id", found.alias("spans"), *(f"keep_{c}" for c in keep))
+    return base.select(F.monotonically_increasing_id().alias("row"), "doc_id", found.alias("spans"), "kept")
 
 
 def linked(found: DataFrame) -> DataFrame:
@@ -75,14 +87,14 @@ def linked(found: DataFrame) -> DataFrame:
 
 
 def scan(documents: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
-    """``doc_id, base, linked`` and the columns ``keep``: arrays of (start, kind, end) in order of start, then kind.
+    """``doc_id, base, linked, kept``: arrays of (start, kind, end) in order of start, then kind; the columns ``keep``.
 
     Null text is empty and has no spans; offsets are code points, ends exclusive.  Rows without an id and repeated rows
     are scanned like any other.  An empty table gives an empty table."""
     found, _ = stored(candidates(documents, keep), "secrets")
     base = F.array_sort(F.transform(F.filter("spans", lambda x: x["kind"] < STRONG), lambda x: F.struct(x["start"].alias("start"), x["kind"].alias("kind"), x["end"].alias("end"))))
     none = F.expr("cast(array() as array<struct<start:int,kind:int,end:int>>)")
-    return found.join(linked(found), "row", "left").select("doc_id", base.alias("base"), F.coalesce(F.array_sort("linked"), none).alias("linked"), *(F.col(f"keep_{c}").alias(c) for c in keep))
+    return found.join(linked(found), "row", "left").select("doc_id", base.alias("base"), F.coalesce(F.array_sort("linked"), none).alias("linked"), "kept")
 
 
 def written(spans: Column) -> Column:
@@ -101,18 +113,17 @@ def redacted(documents: DataFrame, by: str = "[SECRET]") -> DataFrame:
     """All rows and columns of ``documents``, each span (of overlapping ones their hull) in ``text`` replaced.
 
     ``n_chars``, where there is one, counts what is left.  Nothing else changes; null text stays null."""
-    columns = documents.columns
-    found = scan(documents.withColumn("text_was_null", F.col("text").isNull()), (*[c for c in columns if c != "doc_id"], "text_was_null"))
+    columns, text = documents.columns, F.col("kept.text")
+    found = scan(documents, tuple(columns))
     spans = F.array_sort(F.concat("base", "linked"))
     begin = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
     def step(state: Column, x: Column) -> Column:
         fresh = x["start"] >= state["at"]
-        piece = F.when(fresh, F.concat(state["out"], F.substring(F.col("text"), state["at"] + 1, x["start"] - state["at"]), F.lit(by))).otherwise(state["out"])
+        piece = F.when(fresh, F.concat(state["out"], F.substring(text, state["at"] + 1, x["start"] - state["at"]), F.lit(by))).otherwise(state["out"])
         return F.struct(F.greatest(state["at"], x["end"]).alias("at"), piece.alias("out"))
 
-    end = lambda s: F.concat(s["out"], F.substring(F.col("text"), s["at"] + 1, F.length("text")))
-    out = found.withColumn("text", F.when(F.col("text_was_null"), None).when(F.size(spans) > 0, F.aggregate(spans, begin, step, end)).otherwise(F.col("text")))
-    if "n_chars" in columns:
-        out = out.withColumn("n_chars", F.length("text").cast("long"))
-    return out.select(*columns)
+    end = lambda s: F.concat(s["out"], F.substring(text, s["at"] + 1, F.length(text)))
+    out = found.withColumn("clean", F.when((F.size(spans) > 0) & text.isNotNull(), F.aggregate(spans, begin, step, end)).otherwise(text))
+    new = {"text": F.col("clean"), "n_chars": F.when(F.col("clean").isNotNull(), F.length("clean").cast("long"))}
+    return out.select(*((new[c] if c in new else F.col(f"kept.`{c}`")).alias(c) for c in columns))
