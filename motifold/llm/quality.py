@@ -2,9 +2,13 @@
 temperature-calibrated probabilities.
 
 A word that the fitting rows hold often has a row of its own, any other word the row of its shape (letters by case,
-digits and punctuation, runs shortened); a long word or shape is many pieces, each with the row of its shape.  Every row has a sparse ternary index vector drawn from a hash of its name; its
-word vector adds the index vectors of its neighbours within two words.  A document is the mean of its words' (and pieces') vectors.
-Only the fit is bounded (``FIT_ROWS`` labelled rows, chosen by a hash of their ids); every text is scored whole."""
+digits and punctuation, runs shortened); a long word or shape is many pieces, each with the row of its shape.  Every row
+has a sparse ternary index vector drawn from a hash of its name; its word vector adds the index vectors of its neighbours
+within two words.  A document is the mean of its words' (and pieces') vectors.
+
+Only the fit is bounded (``FIT_ROWS`` labelled rows, chosen by a hash of their ids); every text is scored whole.  The
+fitting rows' texts stay on the executors, which count their words, sum up their neighbours (whole numbers, so that no
+order of adding shows) and pool them; the driver sees names, sums and one pooled vector a row."""
 
 from __future__ import annotations
 
@@ -17,10 +21,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import DOUBLE, LONG, schema
+from .shared import BINARY, DOUBLE, INT, LONG, STRING, discard, schema, stored
 
-#: Labelled rows that the fit uses at most, and the least count of a word that gets a row, and most of those.
-FIT_ROWS, LEAST, MOST_WORDS = 6000, 8, 20_000
+#: Labelled rows that the fit uses at most, and the least count of a word that gets a row.
+FIT_ROWS, LEAST = 6000, 8
+#: Bytes that a model may have: it is sent to all tasks.  Its size follows the fitting rows, not the corpus.
+MODEL_BYTES = 1 << 30
+#: Neighbours that are summed up at once.
+TOGETHER = 250_000
 DIM, NONZERO, NEAR, HIDDEN, STEPS = 128, 8, 2, 32, 400
 #: A score from which a document counts as good.
 GOOD = 0.7
@@ -91,35 +99,70 @@ class Rows(dict):
         return out
 
 
-class Model:
-    def __init__(self, texts: list[str], labels: np.ndarray):
-        counts: dict[str, int] = {}
-        for text in texts:
-            for w in text.split():
-                counts[w] = counts.get(w, 0) + 1
-        words = sorted(counts, key=lambda w: (-counts[w], w))[:MOST_WORDS]
-        self.words = [w for w in words if counts[w] >= LEAST]
-        self.shapes = sorted({s for w in counts for s in shapes(w)})
-        rows = Rows(self.words, self.shapes)
-        names = [*self.words, *self.shapes, "\x00other", AGAIN]
-        at, sign = _index(names)
-        base = np.zeros((len(names), DIM), np.float32)
-        np.put_along_axis(base, at, sign, 1)
-        near = np.zeros(len(names) * DIM)
+def counted(texts: Iterator[str]) -> dict[str, int]:
+    """How often each word occurs, and 0 for each shape of theirs, all of which begin with a null character."""
+    counts: dict[str, int] = {}
+    for text in texts:
+        for w in text.split():
+            counts[w] = counts.get(w, 0) + 1
+    return {w: n for w, n in counts.items() if w[0] != "\x00"} | {s: 0 for w in counts for s in shapes(w)}
+
+
+class Names:
+    """Which words and shapes have a row, and the index vectors of these."""
+
+    def __init__(self, counts: dict[str, int]):
+        self.words = sorted(w for w, n in counts.items() if n >= LEAST)
+        self.shapes = sorted(s for s, n in counts.items() if not n)
+        self.all = [*self.words, *self.shapes, "\x00other", AGAIN]
+        if len(self.all) * DIM * 4 > MODEL_BYTES:
+            raise ValueError(f"the fitting rows hold {len(self.all)} names: fit on fewer rows")
+        self.at, self.sign = _index(self.all)
+
+    def rows(self) -> Rows:
+        return Rows(self.words, self.shapes)
+
+    def near(self, texts: Iterator[str]) -> np.ndarray:
+        """Sum of the index vectors of each row's neighbours, in whole numbers."""
+        rows, out = self.rows(), np.zeros(len(self.all) * DIM, np.int64)
+        left, right, held = [], [], 0
+
+        def add():
+            x, y = np.concatenate(left), np.concatenate(right)
+            for lo in range(0, len(x), TOGETHER):
+                p, q = x[lo : lo + TOGETHER], y[lo : lo + TOGETHER]
+                np.add(out, np.bincount((p[:, None] * DIM + self.at[q]).ravel(), self.sign[q].ravel(), len(out)).astype(np.int64), out)
+
         for text in texts:
             r = rows.of(text.split())
             for k in range(1, NEAR + 1):
-                for x, y in ((r[:-k], r[k:]), (r[k:], r[:-k])):
-                    if len(x):
-                        np.add.at(near, (x[:, None] * DIM + at[y]).ravel(), sign[y].ravel())
-        near = near.reshape(len(names), DIM).astype(np.float32)
+                left += (r[:-k], r[k:])
+                right += (r[k:], r[:-k])
+                held += 2 * len(r)
+            if held > TOGETHER:
+                add()
+                left, right, held = [], [], 0
+        if held:
+            add()
+        return out.reshape(-1, DIM)
+
+
+class Model:
+    """Word vectors, and the network once ``fitted``."""
+
+    def __init__(self, names: Names, near: np.ndarray):
+        self.words, self.shapes, self._rows = names.words, names.shapes, None
+        base = np.zeros((len(names.all), DIM), np.float32)
+        np.put_along_axis(base, names.at, names.sign, 1)
+        rows = names.rows()
         for i, w in enumerate(self.words):  # a word with a row also has its shape's vector, the mean of its pieces'
             base[i] += base[[rows.shapes[s] for s in shapes(w)]].mean(0)
-        self.vectors = base + near / np.maximum(np.linalg.norm(near, axis=1, keepdims=True), 1e-9)
-        self._rows = rows
-        x = np.stack([self.pooled(t) for t in texts]) if texts else np.zeros((0, DIM + 1), np.float32)
-        self._fit(x, labels.astype(np.float32))
-        self._rows = None
+        self.vectors = base + (near / np.maximum(np.linalg.norm(near, axis=1, keepdims=True), 1e-9)).astype(np.float32)
+        self.fitted(np.zeros((0, DIM + 1)), np.zeros(0))
+
+    def fitted(self, pooled: np.ndarray, labels: np.ndarray) -> Model:
+        self._fit(pooled, labels.astype(np.float32))
+        return self
 
     def _fit(self, x: np.ndarray, y: np.ndarray) -> None:
         rng = np.random.default_rng(11)
@@ -187,8 +230,47 @@ def fit(documents: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Model:
     known = labels.where("doc_id is not null and quality in (0, 1)").where(~held_out()).groupBy("doc_id").agg(F.max("quality").alias("quality"))
     few = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows).collect()
     chosen = spark.createDataFrame(few, "doc_id long, quality int")
-    found = sorted(((r[0], r[1] or "", r[2]) for r in documents.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").toLocalIterator()), key=lambda r: r[:2])
-    return Model([r[1] for r in found], np.array([r[2] for r in found], np.float32))
+    texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    sample, sample_at = stored(texts.join(F.broadcast(chosen), "doc_id"), "labelled")
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = counted(x for batch in batches for x in batch.column(0).to_pylist())
+        yield pa.RecordBatch.from_pydict({"name": pa.array(found.keys(), pa.string()), "n": pa.array(found.values(), pa.int64())})
+
+    counts = sample.select("text").mapInArrow(count, schema(name=STRING, n=LONG)).groupBy("name").agg(F.sum("n").alias("n")).where((F.col("n") == 0) | (F.col("n") >= LEAST)).toArrow()
+    names = Names(dict(zip(counts.column(0).to_pylist(), counts.column(1).to_pylist(), strict=True)))
+    sent = spark.sparkContext.broadcast(names)  # at most MODEL_BYTES
+
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = sent.value.near(x for batch in batches for x in batch.column(0).to_pylist())
+        at = np.flatnonzero(found.any(1))
+        for lo in range(0, len(at), 2000):
+            yield pa.RecordBatch.from_pydict({"row": pa.array(at[lo : lo + 2000].astype(np.int32)), "sums": pa.array([x.astype(np.int32).tobytes() for x in found[at[lo : lo + 2000]]], pa.binary())})
+
+    def add(key: tuple[pa.Scalar, ...], parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for part in parts:
+            for row, x in zip(part.column("row").to_pylist(), part.column("sums"), strict=True):
+                sums[row] = sums.get(row, 0) + np.frombuffer(x.as_buffer(), np.int32).astype(np.int64)
+        yield pa.RecordBatch.from_pydict({"row": pa.array(sums.keys(), pa.int32()), "sums": pa.array([x.tobytes() for x in sums.values()], pa.binary())})
+
+    out = np.zeros((len(names.all), DIM), np.int64)
+    # as large as the model
+    found = sample.select("text").mapInArrow(near, schema(row=INT, sums=BINARY)).groupBy((F.col("row") % 64).alias("part")).applyInArrow(add, schema(row=INT, sums=BINARY)).toArrow()
+    for row, x in zip(found.column(0).to_pylist(), found.column(1), strict=True):
+        out[row] = np.frombuffer(x.as_buffer(), np.int64)
+    model = Model(names, out)
+    with_vectors = spark.sparkContext.broadcast(model)
+
+    def pool(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0), "quality": batch.column(2), "pooled": pa.array([with_vectors.value.pooled(x).tobytes() for x in batch.column(1).to_pylist()], pa.binary())})
+
+    pooled = sorted(sample.select("doc_id", "text", "quality").mapInArrow(pool, schema(doc_id=LONG, quality=INT, pooled=BINARY)).collect(), key=lambda r: (r[0], bytes(r[2])))
+    sent.unpersist()
+    with_vectors.unpersist()
+    discard(spark, sample_at)
+    return model.fitted(np.frombuffer(b"".join(bytes(r[2]) for r in pooled), np.float32).reshape(-1, DIM + 1), np.array([r[1] for r in pooled], np.float32))
 
 
 def scored(documents: DataFrame, model: Model) -> DataFrame:
@@ -196,7 +278,7 @@ def scored(documents: DataFrame, model: Model) -> DataFrame:
 
     Null and blank texts get the score of a document without words.  Repeated rows each get a row; a null id is never
     held out.  Columns other than ``doc_id`` and ``text`` are ignored."""
-    shared = documents.sparkSession.sparkContext.broadcast(model)  # bounded by MOST_WORDS * DIM
+    shared = documents.sparkSession.sparkContext.broadcast(model)  # at most MODEL_BYTES
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -268,11 +268,14 @@ def test_pii_query(spark, docs, rows):
 
 def test_quality_long_words():
     """All of a text without white space counts, and all of a long shape."""
-    from motifold.llm.quality import REMEMBERED, Model, Rows, shapes
+    from motifold.llm.quality import REMEMBERED, Model, Names, Rows, counted, shapes
 
     rng = random.Random(3)
     good, bad = [" ".join(rng.choice(["plain", "words", "A"]) for _ in range(30)) for _ in range(40)], ["x;1" * 40 + "a" * rng.randint(1, 99) + " ;" for _ in range(40)]
-    model = Model(good + bad, np.array([1] * 40 + [0] * 40))
+    names = Names(counted(good + bad))
+    model = Model(names, names.near(good + bad))
+    model.fitted(np.stack([model.pooled(t) for t in good + bad]), np.array([1] * 40 + [0] * 40))
+    assert model.scores(good).min() > 0.7 > 0.3 > model.scores(bad).max()
     start = "a" * 48
     assert not np.allclose(model.pooled(start + "b" * 480), model.pooled(start + "x;1" * 160))
     assert not np.allclose(model.pooled("a-" * 4 + "A"), model.pooled("a-" * 4 + ";"))
@@ -285,6 +288,55 @@ def test_quality_long_words():
     assert list(rows.of(["w", "b" * 60])) == [0, 1, 1] and not rows.keys() - {"w"}
 
 
+def test_quality_by_hand(spark, monkeypatch):
+    """Vectors and scores, from Spark, against sums over single words; a vocabulary beyond 20,000 words keeps its rows."""
+    from motifold.llm import quality as q
+
+    rng = random.Random(6)
+    texts = [" ".join(rng.choice(["plain", "words", "Ab1", "x;", "\x00a", "e" * 60, "rare" + str(rng.random())]) for _ in range(rng.randint(0, 40))) for _ in range(60)]
+    frame = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, quality int")
+    model = q.fit(frame.repartition(5), labels)
+    used = [t for i, t in enumerate(texts) if zlib.crc32(str(i).encode()) % 4 != 2]
+    counts = Counter(w for t in used for w in t.split())
+    names = sorted(w for w in counts if counts[w] >= q.LEAST and w[0] != "\x00")
+    forms = sorted({s for w in counts for s in q.shapes(w)})
+    assert model.words == names and model.shapes == forms
+    every = [*names, *forms, "\x00other", q.AGAIN]
+    at, sign = q._index(every)
+
+    def rows_of(text):
+        return [every.index(x) for w in text.split() for x in ([w] if w in names else q.shapes(w))]
+
+    near = np.zeros((len(every), q.DIM))
+    for t in used:
+        r = rows_of(t)
+        for i, x in enumerate(r):
+            for j in range(max(0, i - 2), min(len(r), i + 3)):
+                if j != i:
+                    near[x, at[r[j]]] += sign[r[j]]
+    want = np.zeros((len(every), q.DIM))
+    for i, name in enumerate(every):
+        want[i, at[i]] = sign[i]
+    base = want.copy()
+    for i, w in enumerate(names):
+        want[i] += np.mean([base[every.index(x)] for x in q.shapes(w)], 0)
+    want += near / np.maximum(np.linalg.norm(near, axis=1, keepdims=True), 1e-9)
+    assert np.allclose(model.vectors, want, atol=1e-4)
+    for r in q.scored(frame, model).collect():
+        words_, rows_ = texts[r["doc_id"]].split(), rows_of(texts[r["doc_id"]])
+        again = sum(a == b for a, b in zip(words_, words_[1:], strict=False))
+        pooled = np.append((sum(want[i] for i in rows_) + again * want[-1]) / max(1, len(rows_)), again / max(1, len(words_)))
+        z = (pooled - model.mean) / model.scale
+        logit = sum(math.tanh(float(z @ model.w[0][:, h] + model.w[1][h])) * model.w[2][h] for h in range(q.HIDDEN)) + model.w[3][0]
+        assert math.isclose(r["score"], 1 / (1 + math.exp(-logit / model.temperature)), abs_tol=1e-3)
+    many = q.Names(q.counted([" ".join(f"v{i}" for i in range(25_000))] * q.LEAST))
+    assert len(many.words) == 25_000
+    monkeypatch.setattr(q, "MODEL_BYTES", 1000)
+    with pytest.raises(ValueError):
+        q.Names({f"v{i}": 9 for i in range(10)})
+
+
 def test_language_scores(spark, docs, rows, monkeypatch):
     from motifold.llm import ngram_lm
 
