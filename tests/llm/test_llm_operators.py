@@ -448,6 +448,124 @@ def test_html(spark):
         assert main_text(blank).strip() in ("", "<p")
     frame = spark.createDataFrame([(1, None, PAGE, "t"), (None, "u", None, "t"), (1, None, PAGE, "t")], "page_id long, url string, html string, text string")
     assert [(r["page_id"], r["url"], r["n_chars"]) for r in extract(frame).collect()] == [(1, None, len(want)), (None, "u", 0), (1, None, len(want))]
+    assert extract(frame.limit(0)).count() == 0
+
+
+def test_html_densities():
+    """Densities and what they select, on trees made here, against sums over each node's whole subtree."""
+    from motifold.llm.html_text import main_text
+
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randint(1, 9)))
+    text = lambda: " ".join(word() for _ in range(rng.choice([1, 3, 20, 60])))
+
+    def made(level):
+        kids = []
+        for _ in range(rng.randint(1, 5)):
+            kind = rng.random()
+            kids.append([text()] if kind < 0.3 else ["a", text()] if kind < 0.45 else ["div", *made(level - 1)] if level and kind < 0.8 else ["p", [text()]])
+        return kids
+
+    def rendered(x):
+        return f"<{x[0]}>" + "".join(k if isinstance(k, str) else k[0] + " " if len(k) == 1 and isinstance(k[0], str) else rendered(k) for k in x[1:]) + f"</{x[0]}>"
+
+    def runs(kids):  # bare text and links side by side are one node
+        out = []
+        for k in kids:
+            if k[0] in ("div", "p"):
+                out.append(k)
+            elif out and out[-1][0] == "#":
+                out[-1].append(k)
+            else:
+                out.append(["#", k])
+        return out
+
+    def tree(x):
+        return x if x[0] == "#" else [x[0], *(tree(k) for k in runs(x[1:]))]
+
+    def count(x):  # characters, tags, those in links
+        if len(x) == 1:
+            return np.array([len(x[0].replace(" ", "")), 0, 0, 0])
+        if x[0] == "a":
+            n = len(x[1].replace(" ", ""))
+            return np.array([n, 0, n, 1])
+        return sum((count(k) + np.array([0, k[0] in ("div", "p", "a") and len(k) > 1, 0, 0]) for k in x[1:]), np.zeros(4, int))
+
+    def dense(x, share):
+        c, t, lc, lt = (int(v) for v in count(x))
+        t = max(1, t)
+        return c / t * math.log(1 + c / max(1, lc) * t / max(1, lt), math.log(c * lc / max(1, c - lc) + share * c + math.e) + 1) if c else 0.0
+
+    def below(x):
+        return [] if x[0] == "#" else x[1:]
+
+    def blocks(x):
+        if x[0] == "#":
+            return [" ".join("".join(k[-1] + " " * (len(k) == 1) for k in x[1:]).split())]
+        return [b for k in below(x) for b in blocks(k)]
+
+    for _ in range(300):
+        body = tree(["body", *made(3)])
+        share = count(body)[2] / max(1, count(body)[0])
+        best, most = None, -1.0
+
+        def look(x, above):
+            nonlocal best, most
+            total = math.fsum(dense(k, share) for k in below(x))
+            if total > most:
+                best, most = [*above, x], total
+            for k in below(x):
+                look(k, [*above, x])
+
+        look(body, [])
+        least = min(dense(x, share) for x in best)
+
+        def chosen(x, path):
+            if path and x is path[0]:
+                if len(path) == 1:
+                    return kept(x, x)
+                out = []
+                for k in below(x):
+                    c = count(k)
+                    if k is path[1] or (k[0] == "#" or dense(k, share) >= least) and c[2] <= 0.3 * c[0]:
+                        out += chosen(k, path[1:])
+                return out
+            return kept(x, x)
+
+        def kept(x, top):
+            c = count(x)
+            if x is not top and x[0] != "#" and c[3] >= 2 and c[2] > 0.6 * c[0] and dense(x, share) < least:
+                return []
+            if x[0] == "#":
+                return [] if x is not top and c[3] >= 2 and c[2] > 0.6 * c[0] and dense(x, share) < least else blocks(x)
+            return [b for k in below(x) for b in kept(k, top)]
+
+        def flat(x):
+            return [x[0], *(y for k in x[1:] for y in (k[1:] if k[0] == "#" else [flat(k)]))]
+
+        assert main_text(rendered(flat(body))) == "\n".join(b for b in chosen(body, best) if b)
+
+
+def test_html_broken_and_long():
+    import time
+
+    from motifold.llm.html_text import main_text
+
+    assert main_text("<p>one</p><![CDATA[abcdef") == "one\nabcdef" and main_text("<p>one</p><![CDATA[a<b]]>") == "one\na<b"
+    long = "words of a text " * 20
+    bare = main_text(f"<body>Intro of the page <b>in bold</b> letters<div><p>{long}</p><p>{long}</p></div>Closing words of it</body>")
+    assert bare.split("\n")[0] == "Intro of the page in bold letters" and bare.split("\n")[-1] == "Closing words of it"
+    links = "<ul>" + "".join(f"<li><a href=/{i}>name {i}</a>" for i in range(9)) + "</ul>"
+    assert "name 8" in main_text(f"<article><p>{long}</p>{links}</article>") and "name 8" not in main_text(f"<nav>{links}</nav><article><p>{long}</p></article>")
+    assert main_text("&#" + "0" * 9000 + "65; &#" + "9" * 9000 + ";") == "A \ufffd"
+    assert main_text("<p>İİİ<script>x</SCRIPT>after") == "İİİafter"
+    for page, want in (
+        ("<div>" * 100_000 + "deep", "deep"), ("<p><table><td>" + "<div>" * 50_000 + "deep", "deep"), ('<a "' * 250_000, None), ('<a ">"' * 100_000, None), ("<" * 1_000_000, None), ("<!" * 500_000, None),
+        ("<!--" * 250_000, ""), ("<script>" * 100_000, ""), ("<i>" * 30_000 + "<div>" + "</b>" * 30_000 + "x", "x"), ("<p>" + "long text " * 100_000, ("long text " * 100_000).strip()),
+    ):
+        at = time.process_time()
+        got = main_text(page)
+        assert (want is None or got == want) and time.process_time() - at < 5
 
 
 def test_quality(spark):
