@@ -248,6 +248,62 @@ def test_pii_disguise_alone(text, kind, span):
         assert found(text + other) == found(text)
 
 
+# the contract's patterns, word for word, and its conditions
+PII = (
+    ("email", re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"), lambda x: True),
+    ("ip", re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"), lambda x: all(int(p) <= 255 for p in x.split("."))),
+    ("card", re.compile(r"[0-9]([\x20-]?[0-9])+"), lambda x: 16 <= len(re.sub("[^0-9]", "", x)) <= 19 and luhn_sum(re.sub("[^0-9]", "", x)) % 10 == 0),
+    ("phone", re.compile(r"\+[0-9][\x20().0-9-]+[0-9]"), lambda x: 8 <= len(re.sub("[^0-9]", "", x)) <= 15),
+)
+
+
+def luhn_sum(digits):
+    return sum(sum(divmod(int(d) * (2 if i % 2 else 1), 10)) for i, d in enumerate(digits[::-1]))
+
+
+def pii_by_contract(text):
+    return [(kind, *m.span()) for kind, pattern, ok in PII for m in pattern.finditer(text or "") if ok(m[0])]
+
+
+def test_pii_by_contract(spark):
+    from motifold.llm.pii import KINDS, base_spans, personal_data
+
+    rng = random.Random(17)
+    parts = ["a@b.c", "@y.z", "_x", "a.", "@", ".", "-", " ", "+", "1", "22", "255", "300.1", "1.2.3.4", "4111 1111 1111 1111", "4111111111111111", "+49 (30) 12345", "4341793081767959", "é", "０", "😀", "\n", "00000", "+1"]
+    texts = [None, "", *("".join(rng.choice(parts) for _ in range(rng.randint(1, 14))) for _ in range(4000))]
+    for text in texts:
+        assert [(KINDS[k], a, b) for k, a, b in base_spans(text or "")] == pii_by_contract(text)
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for r in personal_data(frame).collect():
+        found = pii_by_contract(texts[r["doc_id"]])
+        names = [f"{k}:{a}:{b}" for k, a, b in found]
+        assert r["base_sha256"] == hashlib.sha256(",".join(names).encode()).hexdigest() and set(names) <= set(r["spans"].split(",")) | {""}
+        assert [r[f"n_{k}"] for k, _, _ in PII] == [sum(x[0] == k for x in found) for k, _, _ in PII]
+
+
+def test_pii_letters_of_all_kinds():
+    from motifold.llm.pii import disguised_spans
+
+    hidden = "b\u200bob@mail.example.com"
+    assert disguised_spans(hidden, []) == [(0, 0, len(hidden))]
+    assert disguised_spans("see bob at site dot xyz", []) == [(0, 4, 23)] and disguised_spans("bob @ site.xyz", []) == [(0, 0, 14)]
+    for six in ("s\u0131x", "\u017fix", "SIX", "sİx"):  # letters that one case folds into others
+        disguised_spans(f"one two {six} six six six six six", [])
+    assert disguised_spans("plus one two three four five six \u017fix seven", []) == [(3, 0, 42)]
+
+
+@pytest.mark.parametrize("unit", ["1", "one 1 ", "one ", "a", "a@", "a@b.c", "a@b.c ", "1.", "+1 ", "a at b dot c ", " ", "a[ ", "\u0430", "one,1.", "4111 1111 1111 1111 x ", "\u200b", "(at) a "])
+def test_pii_long_texts(unit):
+    """A megabyte of anything takes seconds, not hours."""
+    import time
+
+    from motifold.llm.pii import base_spans, disguised_spans
+
+    text, at = unit * (1_000_000 // len(unit)), time.process_time()
+    disguised_spans(text, base_spans(text))
+    assert time.process_time() - at < 8
+
+
 @pytest.mark.parametrize("top", ["pl", "se", "cz", "pt", "dk", "no", "ie", "kr", "museum", "com"])
 def test_pii_spoken_domains(top):
     from motifold.llm.pii import disguised_spans
