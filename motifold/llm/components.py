@@ -2,34 +2,53 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .shared import discard, stored
 
+#: A node with more than one in HUBS of all links, and more than LEAST, is a hub: there are 2 * HUBS of them at most.
+HUBS, LEAST = 1000, 256
+
+
+def _with_least(links: DataFrame, total: int) -> tuple[DataFrame, DataFrame]:
+    """``u, v, m`` for links (u, v): m is the least v of u.  No task holds a hub's links.
+
+    The least neighbours come from a grouping that combines before it shuffles.  They are joined to the links by u, but
+    those of hubs, a list of bounded length, are sent to all tasks."""
+    least = links.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).persist()
+    hubs = least.where(F.col("n") > max(LEAST, 2 * total // HUBS)).select("u", "m").collect()
+    least_of = least.select("u", "m")
+    if not hubs:
+        return links.join(least_of, "u"), least
+    few = F.broadcast(links.sparkSession.createDataFrame(hubs, least_of.schema))
+    return links.join(few, "u").unionByName(links.join(few.select("u"), "u", "left_anti").join(least_of, "u")), least
+
 
 def components(links: DataFrame, a: str = "a", b: str = "b") -> tuple[DataFrame, str]:
     """``(node, component)`` for each node with a link; component is the smallest node that links reach.
 
-    Null ends and links of a node with itself count for nothing.  Each round is written to the shared folder, so lineage
-    stays short and lost executors cost one round.  Nothing is collected but a count and a checksum.  Returns the
-    table and its path."""
+    Null ends and links of a node with itself count for nothing; nodes may be of any type that has an order.  Each round
+    is written to the shared folder, so lineage stays short and lost executors cost one round.  Only hubs, counts and a
+    checksum are collected.  Returns the table and its path."""
     spark = links.sparkSession
     u, v = F.col(a), F.col(b)
     edges = links.where(u != v).select(F.greatest(u, v).alias("u"), F.least(u, v).alias("v")).distinct()
     edges, path = stored(edges, "links")
-    seen = None
-    while True:
+    seen, total = None, edges.count()
+    while total:
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        by = Window.partitionBy("u")
-        large = both.withColumn("m", F.least(F.min("v").over(by), F.col("u"))).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        near = large.withColumn("m", F.min("v").over(by))
-        small = near.select(F.explode(F.array(F.struct(F.col("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*").where("u > v").distinct()
-        after, to = stored(small, "links")
+        with_least, held = _with_least(both, total)
+        large = with_least.where("v > u").select(F.col("v").alias("u"), F.least("m", "u").alias("v")).distinct().persist()
+        near, too = _with_least(large, total)
+        pairs = F.array(F.struct(F.col("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))
+        after, to = stored(near.select(F.explode(pairs).alias("e")).select("e.*").where("u > v").distinct(), "links")
+        for x in (held, large, too):
+            x.unpersist()
         # a sum of 40 bits of each hash can't overflow below 2^23 links a partition of sums; decimals hold the rest
         now = after.agg(F.count("*"), F.sum(F.xxhash64("u", "v").bitwiseAND(F.lit((1 << 40) - 1)).cast("decimal(38,0)"))).first()
         discard(spark, path)
-        edges, path = after, to
+        edges, path, total = after, to, now[0]
         if now == seen:
             break
         seen = now

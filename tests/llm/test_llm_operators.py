@@ -117,6 +117,18 @@ def test_components_of_a_chain(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101), (5, 5), (None, 3)], "a long, b long")
     found = dict(map(tuple, cc(links)[0].collect()))
     assert found == {**dict.fromkeys(range(41), 0), 100: 100, 101: 100}
+    assert cc(links.limit(0))[0].count() == 0
+
+
+def test_components_with_hubs(spark, monkeypatch):
+    from motifold.llm import components as c
+
+    monkeypatch.setattr(c, "LEAST", 5)
+    monkeypatch.setattr(c, "HUBS", 50)
+    rng = random.Random(2)
+    pairs = [(500, i) for i in range(0, 120, 2)] + [(0, i) for i in range(600, 660)] + [(rng.randrange(1000, 1400), rng.randrange(1000, 1400)) for _ in range(150)]
+    want = components({x for p in pairs for x in p if p[0] != p[1]}, pairs)
+    assert dict(map(tuple, c.components(spark.createDataFrame(pairs, "a long, b long"))[0].collect())) == want
 
 
 def test_decontamination(spark, docs, rows):
@@ -460,15 +472,65 @@ def test_near_vectors(spark, monkeypatch):
         return float(np.dot(a, b) / np.linalg.norm(a) / np.linalg.norm(b))
 
     linked = [[j for j in range(len(data)) if j != i and cosine(data[i][1], data[j][1]) >= 0.95] for i in range(len(data))]
-    of = components({d[0] for d in data if d[0] is not None}, [(data[i][0], data[j][0]) for i, js in enumerate(linked) for j in js if None not in (data[i][0], data[j][0])])
     for tile in (nv.TILE, 4):
         monkeypatch.setattr(nv, "TILE", tile)
         got = Counter(tuple(r) for r in nv.near_vectors(frame).collect())
-        want = Counter((d[0], len(js), of.get(d[0]), d[0] is not None and of[d[0]] == d[0]) for d, js in zip(data, linked, strict=True))
+        want = Counter(near_rows([d[0] for d in data], linked))
         assert sum((got & want).values()) >= 0.97 * len(data)
     assert nv.near_vectors(frame.limit(0)).count() == 0
 
 
+def near_rows(ids, linked):
+    """What the operator returns for rows with these ids and, for each, the rows that it links with."""
+    first = {}
+    same = [(first.setdefault(d, i), i) for i, d in enumerate(ids) if d is not None]
+    of = components(range(len(ids)), [*((i, j) for i, js in enumerate(linked) for j in js), *same])
+    least = {}
+    for i, d in enumerate(ids):
+        if d is not None:
+            least[of[i]] = min(d, least.get(of[i], d))
+    return [(d, len(js), least[of[i]] if d is not None else None, d is not None and least[of[i]] == d) for i, (d, js) in enumerate(zip(ids, linked, strict=True))]
+
+
+def test_near_vectors_without_ids(spark, monkeypatch):
+    """Rows without ids link others, and links go on through them; hubs beyond the bound."""
+    from motifold.llm import components as cc
+    from motifold.llm import near_vectors as nv
+
+    monkeypatch.setattr(cc, "LEAST", 3)
+    monkeypatch.setattr(cc, "HUBS", 20)
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=16)
+    x /= np.linalg.norm(x)
+    y = rng.normal(size=16)
+    y -= (y @ x) * x
+    y /= np.linalg.norm(y)
+    turned = lambda angle: (math.cos(angle) * x + math.sin(angle) * y).tolist()
+    # 0.3 radians are near, 0.6 aren't: 5 and -4 meet through a row without an id only
+    data = [(5, turned(0.0)), (None, turned(0.3)), (-4, turned(0.6)), (None, turned(2.0)), (None, turned(2.01)), *((None if i % 5 else i + 10, turned(4 + i / 1e4)) for i in range(40)), ((1 << 63) - 1, turned(4.0))]
+    frame = spark.createDataFrame(data, "vec_id long, embedding array<double>")
+    linked = [[j for j, (_, b) in enumerate(data) if i != j and np.dot(a, b) >= 0.95] for i, (_, a) in enumerate(data)]
+    assert Counter(map(tuple, nv.near_vectors(frame).collect())) == Counter(near_rows([d for d, _ in data], linked))
+
+
+@pytest.mark.parametrize("crowd, length", [(1024, 1), (4, 2), (0.02, 3)])
+def test_near_vectors_recall(spark, monkeypatch, crowd, length):
+    """Links of 60 queries against all rows by brute force, at each number of codes that a bucket strings together."""
+    from motifold.llm import near_vectors as nv
+
+    rng = np.random.default_rng(21)
+    x = rng.normal(size=(600, 48)).astype(np.float32)
+    near = x[:60].repeat(4, 0) + rng.normal(size=(240, 48)).astype(np.float32) * 0.3 * np.linalg.norm(x[:60].repeat(4, 0), axis=1, keepdims=True) / math.sqrt(48)
+    all_ = np.concatenate([x, near]).astype(np.float32)
+    unit = all_.astype(float) / np.linalg.norm(all_.astype(float), axis=1, keepdims=True)
+    want = (unit[:60] @ unit.T >= 0.95).sum(1) - 1
+    monkeypatch.setattr(nv, "CROWD", crowd)
+    assert math.ceil(math.log(len(all_) / crowd) / math.log(128)) == length or length == 1
+    got = {r[0]: r[1] for r in nv.near_vectors(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(all_)], "vec_id long, embedding array<float>")).collect()}
+    found = np.array([got[i] for i in range(60)])
+    assert want.sum() >= 100 and (found <= want).all() and found.sum() >= 0.95 * want.sum()
+
+
 def test_chat(spark):
     from motifold.llm.chat_format import digests, formatted, read_back
 
