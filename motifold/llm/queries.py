@@ -73,7 +73,8 @@ WITH i AS (SELECT DISTINCT item_id, {_WORDS} AS w FROM benchmark WHERE item_id I
 d AS (SELECT row_number() OVER () AS r, doc_id, {_WORDS} AS w FROM documents),
 si AS (SELECT DISTINCT item_id, w, w[k : k + 4] AS s FROM i, unnest(range(1, greatest(2, len(w) - 3))) AS t(k) WHERE len(w) > 0),
 ni AS (SELECT item_id, w, count(*) AS n FROM si GROUP BY ALL),
-sd AS (SELECT DISTINCT r, doc_id, w[k : k + 4] AS s FROM d, unnest(range(1, greatest(2, len(w) - 3))) AS t(k) WHERE len(w) > 0)
+sizes AS (SELECT DISTINCT len(s) AS z FROM si),
+sd AS (SELECT DISTINCT r, doc_id, w[k : k + z - 1] AS s FROM d, sizes, unnest(range(1, len(w) - z + 2)) AS t(k))
 SELECT doc_id, si.item_id, count(*) AS n_shared, n AS n_item, count(*) / n::DOUBLE AS containment
 FROM sd JOIN si USING (s) JOIN ni ON ni.item_id = si.item_id AND ni.w = si.w
 GROUP BY r, doc_id, si.item_id, si.w, n HAVING 100 * count(*) >= 75 * n

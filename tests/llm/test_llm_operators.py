@@ -134,16 +134,18 @@ def test_components_with_hubs(spark, monkeypatch):
 def test_decontamination(spark, docs, rows):
     from motifold.llm.decontam import clean_documents, contained_items
 
-    items = [(1, rows[7][1]), (2, rows[20][1]), (3, " ".join(rows[7][1].split()[:30])), (4, None), (5, ""), (None, rows[7][1]), (6, "ONE two"), (1, rows[7][1])]
+    items = [(1, rows[7][1]), (2, rows[20][1]), (3, " ".join(rows[7][1].split()[:30])), (4, None), (5, ""), (None, rows[7][1]), (6, "ONE two"), (1, rows[7][1]), (7, "one two three four five six"), (8, "w1"), (9, " ".join(rows[20][1].split()[3:7])), (10, "two one")]
     bench = spark.createDataFrame(items, "item_id long, text string")
     want = Counter()
     for d, t in rows:
-        own = shingle_set(t)
+        w = words(t)
         for i, x in {(i, x) for i, x in items if i is not None}:
-            s = shingle_set(x)
+            s, k = shingle_set(x), min(5, len(words(x)))
+            own = {tuple(w[j : j + k]) for j in range(len(w) - k + 1)}
             if s and 100 * len(s & own) >= 75 * len(s):
                 want[d, i, len(s & own), len(s)] += 1
     assert Counter(tuple(r)[:4] for r in contained_items(docs, bench).collect()) == want
+    assert {i for d, i, *_ in want if d == 208} >= {6} and not any(i == 10 for _, i, *_ in want)
     bad = {d for d, *_ in want}
     kept = clean_documents(docs, bench)
     assert kept.columns == docs.columns
@@ -151,6 +153,33 @@ def test_decontamination(spark, docs, rows):
     assert contained_items(docs, bench.limit(0)).count() == 0 and contained_items(empty(spark), bench).count() == 0
 
 
+def test_decontamination_sketches():
+    """Items of all sizes in long documents, whole, in part and scattered: the search misses none, and what it skips is small."""
+    import pyarrow as pa
+
+    from motifold.llm.decontam import Sketches, sketch_length
+    from motifold.llm.shingles import shingles, spans
+
+    rng = random.Random(31)
+    pool = [f"v{i}" for i in range(5000)]
+    text = lambda n: [rng.choice(pool) for _ in range(n)]
+    items = [text(n) for n in (5, 6, 9, 15, 20, 33, 64, 65, 200, 1000) for _ in range(6)]
+    documents = [text(3000) for _ in range(20)]
+    for item in items:
+        for share in (1.0, 0.9, 0.8, 0.76, 0.7):
+            cut = item[: max(5, round((len(item) - 4) * share) + 4)]
+            documents.append(text(500) + cut + text(2000))
+            half = len(cut) // 2
+            documents.append(text(200) + cut[half:] + text(900) + cut[: half + 4] + text(50))
+    sets = [(i, 5, shingles(h)) for i, h in enumerate(spans(pa.array(" ".join(x) for x in items)))]
+    block = Sketches(sets, 75)
+    column = pa.array([" ".join(d) for d in documents])
+    want = {(r, i, n) for r, h in enumerate(spans(column)) for own in [set(shingles(h).tolist())] for i, _, s in sets if 100 * (n := len(own & set(s.tolist()))) >= 75 * len(s)}
+    assert set(block.matches(column)) == want and len(want) > 300
+    parts = block.lengths[5]
+    assert len(parts) > 5 and parts[-1].cut < 0.7 * 2**64 and all(sketch_length(n, 75) > n - -(-75 * n // 100) for n in range(1, 3000))
+
+
 def test_mixing(spark, docs, rows):
     from motifold.llm.mixing import mixed
 
