@@ -209,6 +209,52 @@ def test_mixing(spark, docs, rows):
     assert mixed(empty(spark)).count() == 0
 
 
+def test_tilted_by_newton(spark):
+    """Disjoint constraints against their closed form; overlapping ones against Newton's method on single documents."""
+    from motifold.llm.mixing import jointly_tilted, tilted
+
+    cells = spark.createDataFrame([("a", 100.0), ("a", 50.0), ("b", 7.0), (None, 900.0), ("e", 0.0)], "source string, mass double")
+    targets = spark.createDataFrame([("a", 450.0), ("b", 0.001), (None, 20.0), ("zero", 5.0), ("e", 3.0)], "source string, target double")
+    got = {r["source"]: r["rate"] for r in tilted(cells, targets, "source").collect()}
+    want = {"a": 3.0, "b": 0.001 / 7, None: 20 / 900, "zero": 0.0, "e": 0.0}
+    assert got.keys() == want.keys() and all(math.isclose(got[k], want[k], rel_tol=1e-8) for k in want)
+    assert tilted(cells.limit(0), targets.limit(0), "source").count() == 0
+
+    rng = random.Random(3)
+    documents = [(rng.choice(["a", "b", None]), rng.choice(["en", "de", "fr", "xx"]), rng.randint(1, 50)) for _ in range(200)]
+    rates = [math.exp({"a": 0.7, "b": -1.1, None: 0.2}[s] + {"en": 0.5, "de": -0.4, "fr": 0.0, "xx": 0.0}[l]) for s, l, _ in documents]
+    of = {"source": {s: sum(w * n for w, (t, _, n) in zip(rates, documents, strict=True) if t == s) for s in ("a", "b", None)}, "lang": {x: sum(w * n for w, (_, t, n) in zip(rates, documents, strict=True) if t == x) for x in ("en", "de", "fr")}}
+    a = np.array([[float(d[0] == v) for v in of["source"]] + [float(d[1] == v) for v in of["lang"]] for d in documents])
+    size, t = np.array([float(d[2]) for d in documents]), np.array([*of["source"].values(), *of["lang"].values()])
+    lam = np.zeros(a.shape[1])
+    for _ in range(50):
+        w = size * np.exp(a @ lam)
+        step = np.linalg.lstsq(a.T @ (a * w[:, None]), a.T @ w - t, rcond=None)[0]
+        lam -= step * min(1, 1 / np.abs(step).max()) if np.abs(step).max() else 0
+    assert np.allclose(a.T @ (size * np.exp(a @ lam)), t)
+    frame = spark.createDataFrame(documents, "source string, lang string, n int")
+    got = {(r["source"], r["lang"]): r["rate"] for r in jointly_tilted(frame.groupBy("source", "lang").agg({"n": "sum"}).toDF("source", "lang", "mass"), of).collect()}
+    for (s, l, _), rate in zip(documents, np.exp(a @ lam), strict=True):
+        assert math.isclose(got[s, l], rate, rel_tol=1e-6)
+    with pytest.raises(ValueError):
+        jointly_tilted(cells, {"source": {str(i): 1.0 for i in range(2000)}})
+
+
+def test_mixing_many_sources(spark, monkeypatch):
+    """More sources than partitions and ranges of few documents give what one partition and two digits give."""
+    from motifold.llm import mixing
+
+    rng = random.Random(8)
+    rows = [(i if i % 9 else None, " ".join(["x"] * rng.randint(0, 9)) + str(i), f"s{rng.randint(0, 400) ** 2 % 97:03}") for i in range(2000)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    want = Counter(map(tuple, mixing.mixed(frame.coalesce(1), ("source",)).collect()))
+    monkeypatch.setattr(mixing, "RANGE", 1)
+    assert Counter(map(tuple, mixing.mixed(frame.repartition(9), ("source",)).collect())) == want and len(want) > 1000
+    sources = sorted({r[2] for r in rows})
+    got = {r["source"]: r["at"] for r in mixing.ranked(frame.groupBy("source").count()).collect()}
+    assert got == {s: i for i, s in enumerate(sources)}
+
+
 SECRETS = (
     ("assign", re.compile(r"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", re.I | re.A), lambda m: len(m[2]) >= 6),
     ("access", re.compile("AKIA[A-Z0-9]+"), lambda m: len(m[0]) >= 20),
