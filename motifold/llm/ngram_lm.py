@@ -1,23 +1,25 @@
 """LM scoring with an Elias-Fano n-gram trie.
 
-The model is a word bigram with back-off to the smoothed unigram:
+The model is a word trigram, interpolated with the bigram and the smoothed unigram:
 
-    p(w | v) = (1 - BETA) c(v, w) / c(v)     if the training texts have (v, w)
-             = BETA p1(w)                    if they have v only
-             = p1(w)                         else,       p1(w) = (c(w) + 0.5) / (N + 0.5 (V + 1))
+    p3(w | u v) = (1 - BETA) c(u, v, w) / c(u, v) + BETA p2(w | v)    if the training texts have (u, v), else p2(w | v)
+    p2(w | v)   = (1 - BETA) c(v, w) / c(v) + BETA p1(w)              if they have v, else p1(w)
+    p1(w)       = (c(w) + 0.5) / (N + 0.5 (V + 1))
 
-Nothing holds the model or the corpus whole.  Words are 64-bit hashes.  Each task packs its events (context, word) by
-*shard* of the context, with pairs written once for a block of texts; a shard's task counts the pairs of training texts,
-builds the shard's trie and scores the events that came with it.  Contexts above one in HOT events are spread over all
-shards by their successors; their counts, of which there are HOT at most, come from a first pass that counts words.
+Each sums to one over all words and one unknown.  Nothing holds the model or the corpus whole.  Texts are cut once into
+*blocks*, which are stored: a dictionary of word hashes and the texts as places in it.  The trie's levels are dealt into
+*shards* by context.  Level by level, each block asks each shard for the different n-grams that it has, with their counts
+in its training texts.  A shard builds its part of the level from all that it was asked, and answers.
 
-A shard's trie lies in a memory-mapped file: level 1 has the contexts, level 2 their successors.  Both are Elias-Fano
-sequences, as are the pointers from one to the other; a successor is found by its fingerprint relative to its context's
-range.  Smoothed probabilities are quantised to a byte.  Events without a pair go on to the shard of their word, which
-holds the word's count.  Sums for each text then meet by block of texts."""
+A level lies in a memory-mapped file: contexts and the successors of each, both Elias-Fano sequences, as are the pointers
+from one to the other; a successor is found by its fingerprint relative to its context's range.  Its share of its
+context, discounted, is quantised to 16 bits.  What a block learns from one level (how often words and pairs occur) tells
+it what to ask of the next: nothing for contexts that have no successors there, and those of a hot context, which has
+more than HOT, from shards dealt by successor, with the context's count sent along."""
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 from collections.abc import Iterator
 
@@ -26,18 +28,22 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .shared import BINARY, DOUBLE, INT, LONG, discard, lean, schema, stored
 from .shingles import U, mix, words
-from pyspark.sql import types as T
 
-#: Share of probability that goes to words not seen after a context.
+#: Share of probability that goes to the next lower order.
 BETA = 0.4
-#: Tokens that a task packs at once; tokens of a shard, about; most hot contexts.
-PACKED, SHARD, HOT = 1_500_000, 2_500_000, 2000
+#: Tokens of a block, about; n-grams that a shard is asked for, about; occurrences from which a context is hot.
+PACKED, SHARD, HOT = 1_000_000, 2_500_000, 50_000
 START, END = U(0x5354415254), U(0x454E44)
-#: Bits of a successor's fingerprint.
-PRINT = 40
+#: Bits of the fingerprints of successors and contexts.
+PRINT, CONTEXT = 40, 48
+#: Steps of a quantised share to a decade, and what stands for none.
+GRID, NONE = 4000, 65535
+#: Questions that a shard looks up together.
+TOGETHER = 500_000
 
 
 def pack(x: np.ndarray) -> bytes:
@@ -51,6 +57,18 @@ def unpack(x: pa.Scalar, kind) -> np.ndarray:
     return np.frombuffer(pa.decompress(raw[8:], size, codec="zstd"), kind) if size else np.zeros(0, kind)
 
 
+def pack_bits(x: np.ndarray, bits: int) -> bytes:
+    """The lowest bytes of 64-bit numbers."""
+    return pack(np.ascontiguousarray(x, "<u8").view(np.uint8).reshape(-1, 8)[:, : bits // 8])
+
+
+def unpack_bits(x: pa.Scalar, bits: int) -> np.ndarray:
+    raw = unpack(x, np.uint8).reshape(-1, bits // 8)
+    out = np.zeros((len(raw), 8), np.uint8)
+    out[:, : bits // 8] = raw
+    return out.view("<u8").ravel()
+
+
 class EliasFano:
     """A monotone sequence of 64-bit numbers: low bits side by side, high bits in unary."""
 
@@ -75,7 +93,7 @@ class EliasFano:
         self.low, unary = data[low:unary], data[unary : unary + size]
         # where each value of the high bits begins: select over the zeros
         zeros = np.flatnonzero(np.unpackbits(unary, bitorder="little") == 0)
-        self.starts = np.concatenate([[0], zeros - np.arange(len(zeros))])
+        self.starts = np.concatenate([[0], zeros - np.arange(len(zeros))]).astype(np.uint32 if self.n < 1 << 32 else np.int64)
         return self
 
     def _lows(self, i: np.ndarray) -> np.ndarray:
@@ -94,10 +112,10 @@ class EliasFano:
 
     def find(self, values: np.ndarray) -> np.ndarray:
         """Place of each value, -1 if it isn't there."""
-        high = (values >> U(self.low_bits)).astype(np.int64)
+        high = np.minimum(values >> U(self.low_bits), U(len(self.starts))).astype(np.int64)
         inside = high + 1 < len(self.starts)
         high = np.where(inside, high, 0)
-        lo, hi = self.starts[high], np.where(inside, self.starts[np.minimum(high + 1, len(self.starts) - 1)], 0)
+        lo, hi = self.starts[high].astype(np.int64), np.where(inside, self.starts[np.minimum(high + 1, len(self.starts) - 1)], 0).astype(np.int64)
         hi = np.minimum(np.where(inside, hi, lo), self.n)
         low = values & U((1 << self.low_bits) - 1) if self.low_bits else np.zeros(len(values), U)
         end = hi.copy()
@@ -113,31 +131,27 @@ class EliasFano:
 
 
 class Trie:
-    """Contexts and their successors, in a memory-mapped file that is gone once the trie is."""
+    """One level: contexts and their successors, in a memory-mapped file that is gone once the trie is."""
 
     def __init__(self, v: np.ndarray, w: np.ndarray, count: np.ndarray, total: np.ndarray):
-        """Pairs in any order; total: how often each pair's context occurs in all."""
-        prints = w >> U(64 - PRINT)
-        order = np.lexsort((prints, v))
-        v, prints, count, total = v[order], prints[order], count[order], total[order]
-        new = np.append(True, (v[1:] != v[:-1]) | (prints[1:] != prints[:-1])) if len(v) else np.zeros(0, bool)
-        at = np.flatnonzero(new)
-        count = np.add.reduceat(count, at) if len(at) else count
-        v, prints, total = v[at], prints[at], total[at]
-        first = np.flatnonzero(np.append(True, v[1:] != v[:-1])) if len(v) else np.zeros(0, np.int64)
-        contexts = v[first]
-        index = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(v))))
-        seen = np.log10((1 - BETA) * count / np.maximum(total, 1))
-        self.book = np.unique(seen)
-        if len(self.book) > 256:
-            self.book = np.quantile(seen, np.linspace(0, 1, 256))
+        """n-grams in any order, some repeated: context, fingerprint of the successor, occurrences; ``total`` is how often
+        an n-gram's context occurs where that is known, else 0 and all its n-grams are here."""
+        contexts, index = np.unique(v, return_inverse=True)
+        known = np.zeros(len(contexts), np.int64)
+        np.maximum.at(known, index, total.astype(np.int64))
+        sums = np.bincount(index, count, len(contexts)).astype(np.int64)
+        totals = np.where(known > 0, known, sums)
+        key, back = np.unique(index.astype(U) << U(PRINT) | w, return_inverse=True)
+        count = np.bincount(back, count, len(key))
+        key, count = key[count > 0], count[count > 0]
+        of = (key >> U(PRINT)).astype(np.int64)
+        code = np.rint(-np.log10((1 - BETA) * count / np.maximum(totals[of], 1)) * GRID)
         with tempfile.TemporaryFile() as file:
             self.roots = EliasFano(contexts, file)
-            self.pointers = EliasFano(np.append(first, len(v)).astype(U), file)
-            self.children = EliasFano((index.astype(U) << U(PRINT)) | prints, file)
+            self.pointers = EliasFano(np.searchsorted(of, np.arange(len(contexts) + 1)).astype(U), file)
+            self.children = EliasFano(key, file)
             self.codes = file.tell()
-            edges = (self.book[1:] + self.book[:-1]) / 2
-            file.write(np.searchsorted(edges, seen).astype(np.uint8).tobytes() + b"\0")
+            file.write(np.clip(code, 0, NONE - 1).astype("<u2").tobytes() + bytes(2))
             file.flush()
             self.data = np.memmap(file, np.uint8, "r")
         for level in (self.roots, self.pointers, self.children):
@@ -149,229 +163,267 @@ class Trie:
         at = np.maximum(root, 0)
         return np.where(root >= 0, (self.pointers.get(at + 1) - self.pointers.get(at)).astype(np.int64), 0)
 
-    def scores(self, v: np.ndarray, w: np.ndarray) -> np.ndarray:
-        """log10 probability of each pair, nan where there is none."""
-        root = self.roots.find(v)
-        child = np.full(len(v), -1)
-        ok = root >= 0
-        # relative to its context: the context's place stands above the fingerprint
-        child[ok] = self.children.find((root[ok].astype(U) << U(PRINT)) | (w[ok] >> U(64 - PRINT)))
-        out = np.full(len(v), np.nan)
-        hit = child >= 0
-        out[hit] = self.book[self.data[self.codes + child[hit]]]
+    def find(self, v: np.ndarray, k: np.ndarray, w: np.ndarray) -> np.ndarray:
+        """Quantised shares of k successors of each context, their fingerprints one after the other; NONE if not there."""
+        root = np.repeat(self.roots.find(v), k)
+        out = np.full(len(w), NONE, np.uint16)
+        for lo in range(0, len(w), TOGETHER):
+            at, r = slice(lo, lo + TOGETHER), root[lo : lo + TOGETHER]
+            # relative to its context: the context's place stands above the fingerprint
+            child = np.where(r >= 0, self.children.find(np.maximum(r, 0).astype(U) << U(PRINT) | w[at]), -1)
+            c = self.codes + 2 * np.maximum(child, 0)
+            out[at] = np.where(child >= 0, self.data[c].astype(np.uint16) | self.data[c + 1].astype(np.uint16) << np.uint16(8), NONE)
         return out
 
 
+def share(code: np.ndarray) -> np.ndarray:
+    """Discounted shares of their contexts."""
+    return np.where(code == NONE, 0.0, 10.0 ** (-code.astype(float) / GRID))
+
+
 def held_out(col: str = "doc_id") -> F.Column:
     return F.coalesce(F.crc32(F.col(col).cast("string").cast("binary")) % 5 == 1, F.lit(False))
 
 
-def _blocks(batches: Iterator[pa.RecordBatch], text: int):
-    """Blocks of about PACKED tokens: (number, batches)."""
-    number, held, size = 0, [], 0
-    for batch in batches:
-        for lo in range(0, batch.num_rows, 500):
-            part = batch.slice(lo, 500)
-            held.append(part)
-            size += part.column(text).nbytes // 6
-            if size >= PACKED:
-                yield number, _one(held)
-                number, held, size = number + 1, [], 0
-    if held:
-        yield number, _one(held)
+def _freed(f):
+    """Have a function of tables give memory back when it ends."""
 
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        try:
+            return f(left, right)
+        finally:
+            pa.default_memory_pool().release_unused()
+            if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
+                libc.malloc_trim(0)
 
-def _one(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.concat_arrays([p.column(i) for p in parts]) for i in range(parts[0].num_columns)], names=parts[0].schema.names)
+    return run
 
 
-def _count(shards: int):
-    @lean
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, block in _blocks(batches, 0):
-            h, _ = words(block.column(0))
-            u, n = np.unique(h, return_counts=True)
-            u, n = np.append(u, END), np.append(n, block.num_rows)
-            shard = (mix(u) % U(shards)).astype(np.int32)
-            order = np.argsort(shard, kind="stable")
-            parts = np.split(order, np.flatnonzero(np.diff(shard[order])) + 1)
-            yield pa.RecordBatch.from_arrays([pa.array([shard[p[0]] for p in parts], pa.int32()), pa.array([pack(u[p]) for p in parts], pa.binary()), pa.array([pack(n[p].astype(np.int64)) for p in parts], pa.binary())], names=["shard", "words", "counts"])
+#: A block: its texts' ids, folds and sizes in tokens; its texts' words by place in its dictionary; what levels answered.
+BLOCK = dict(block=LONG, ids=BINARY, held=BINARY, sizes=BINARY, tokens=BINARY, words=BINARY, counts=BINARY, pairs=BINARY)
+#: A question: contexts, how many successors of each are asked for, these, their counts, and counts of hot contexts.
+ASKED = dict(shard=INT, block=LONG, contexts=BINARY, sizes=BINARY, successors=BINARY, counts=BINARY, totals=BINARY)
+#: What a shard found for a block; or, of block -1, its tokens and different words.
+ANSWER = dict(shard=INT, block=LONG, found=BINARY, n=LONG, v=LONG)
 
-    return run
+
+def _rows(rows: list[tuple], fields: dict) -> pa.Table:
+    arrow = {INT: pa.int32(), LONG: pa.int64(), BINARY: pa.binary()}
+    columns = list(zip(*rows, strict=True)) if rows else [()] * len(fields)
+    return pa.table({name: pa.array(c, arrow[t]) for (name, t), c in zip(fields.items(), columns, strict=True)})
 
 
 @lean
-def _merge(key: tuple[pa.Scalar, ...], parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    u, n = [], []
-    for batch in parts:
-        u += (unpack(x, U) for x in batch.column(1))
-        n += (unpack(x, np.int64) for x in batch.column(2))
-    u, back = np.unique(np.concatenate(u), return_inverse=True)
-    n = np.bincount(back, np.concatenate(n), len(u)).astype(np.int64)
-    top = np.argsort(-n, kind="stable")[:HOT]
-    yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([pack(u)], pa.binary()), pa.array([pack(n)], pa.binary()), pa.array([int(n.sum())]), pa.array([len(u)]), pa.array([pack(u[top])], pa.binary()), pa.array([pack(n[top])], pa.binary())], names=["shard", "words", "counts", "n", "v", "top", "top_counts"])
+def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Blocks of texts; the number tells one from another, and is kept, as the table is stored."""
+    part, held, size, number = TaskContext.get().partitionId() << 32, [], 0, 0
+
+    def block():
+        texts = pa.Table.from_batches(held).combine_chunks()
+        h, at = words(texts.column(1))
+        own, tokens = np.unique(np.insert(h, at[1:], END), return_inverse=True)
+        ids = texts.column(0)
+        folds = np.asarray(texts.column(2)).astype(np.uint8) + 2 * np.asarray(ids.is_null()).astype(np.uint8)
+        return _rows([(part + number, pack(np.asarray(ids.fill_null(0))), pack(folds), pack((np.diff(at) + 1).astype(np.uint32)), pack(tokens.astype(np.uint32)), pack(own), None, None)], BLOCK).to_batches()
+
+    for batch in batches:
+        for lo in range(0, batch.num_rows, 500):
+            held.append(batch.slice(lo, 500))
+            size += held[-1].column(1).nbytes // 6
+            if size >= PACKED:
+                yield from block()
+                held, size, number = [], 0, number + 1
+    if held:
+        yield from block()
+
+
+class Block:
+    """A block's arrays, and its different n-grams."""
+
+    def __init__(self, row: dict):
+        self.number, self.ids, folds = row["block"].as_py(), unpack(row["ids"], np.int64), unpack(row["held"], np.uint8)
+        self.held, self.null = (folds & 1).astype(bool), (folds & 2).astype(bool)
+        self.sizes, self.tokens, self.words = unpack(row["sizes"], np.uint32).astype(np.int64), unpack(row["tokens"], np.uint32).astype(np.int64), unpack(row["words"], U)
+        self.counts = unpack(row["counts"], np.int64) if row["counts"].is_valid else None
+        self.train = np.repeat(~self.held, self.sizes)
+        self.first = np.cumsum(self.sizes) - self.sizes
+
+    def pairs(self) -> None:
+        """Different pairs, by first word; which one each token ends; whose first word training texts have."""
+        n = len(self.words)  # the start stands behind all words
+        before = np.empty_like(self.tokens)
+        before[1:] = self.tokens[:-1]
+        before[self.first] = n
+        key, self.pair = np.unique(before * (n + 1) + self.tokens, return_inverse=True)
+        self.v, self.w = key // (n + 1), key % (n + 1)
+        # as many starts as ends
+        self.of_context = np.append(self.counts, self.counts[np.searchsorted(self.words, END)])[self.v]
+        self.hashes = np.append(self.words, START)
+
+    def triples(self, pairs: np.ndarray) -> None:
+        """Different triples, by pair; which one each token but the first two's ends; ``pairs``: shares of pairs."""
+        self.inner = np.ones(len(self.tokens), bool)
+        self.inner[self.first] = False
+        at = np.flatnonzero(self.inner)
+        key, self.triple = np.unique(self.pair[at - 1] * (len(self.words) + 1) + self.tokens[at], return_inverse=True)
+        self.p, self.x = key // (len(self.words) + 1), key % (len(self.words) + 1)
+        self.of_pair = np.where(pairs == NONE, 0, np.rint(share(pairs) * self.of_context / (1 - BETA))).astype(np.int64)
+
+    def ask(self, shards: int, pairs: np.ndarray | None = None) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """(shard, places of n-grams in order of contexts, context of each) of those whose contexts training texts have."""
+        if pairs is None:
+            context, word, often, hashes = self.v, self.w, self.of_context, self.hashes
+        else:
+            context, word, often = self.p, self.x, self.of_pair[self.p]
+            with np.errstate(over="ignore"):
+                hashes = mix(self.hashes[self.v] * U(0x9E3779B97F4A7C15) + self.hashes[self.w])
+        at = np.flatnonzero(often > 0)
+        by = mix(hashes)[context[at]]
+        hot = often[at] > HOT
+        by[hot] = mix(by[hot] ^ mix(self.words[word[at[hot]]] + U(1)))
+        shard = (by % U(shards)).astype(np.int32)
+        order = np.argsort(shard, kind="stable")
+        self.prints = hashes >> U(64 - CONTEXT)
+        for part in np.split(order, np.flatnonzero(np.diff(shard[order])) + 1):
+            if len(part):
+                yield int(shard[part[0]]), at[part], context[at[part]]
+
+    def questions(self, shards: int, pairs: np.ndarray | None = None) -> list[tuple]:
+        if pairs is None:
+            which, trained, word, often = self.pair, self.train, self.w, self.of_context
+        else:
+            which, trained, word, often = self.triple, self.train[self.inner], self.x, self.of_pair[self.p]
+        counts = np.bincount(which[trained], minlength=len(word))
+        prints, out = self.words >> U(64 - PRINT), []
+        for shard, at, context in self.ask(shards, pairs):
+            new = np.flatnonzero(np.append(True, context[1:] != context[:-1]))
+            total = often[at[new]]
+            out.append((shard, self.number, pack_bits(self.prints[context[new]], CONTEXT), pack(np.diff(np.append(new, len(at))).astype(np.uint32)), pack_bits(prints[word[at]], PRINT), pack(counts[at].astype(np.uint32)), pack(np.where(total > HOT, total, 0))))
+        return out
+
+    def answered(self, shards: int, answers: dict[int, np.ndarray], pairs: np.ndarray | None = None) -> np.ndarray:
+        """Shares of the block's n-grams from what each shard found."""
+        out = np.full(len(self.w if pairs is None else self.x), NONE, np.uint16)
+        for shard, at, _ in self.ask(shards, pairs):
+            out[at] = answers[shard]
+        return out
+
 
+def _each(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+    for batch in batches:
+        for i in range(batch.num_rows):
+            yield {name: batch.column(name)[i] for name in batch.schema.names}
 
-def _deal(shards: int, hot: np.ndarray):
-    """Events of each block by shard: contexts, successors of each, each text's events as places of pairs."""
 
+def _ask_words(shards: int):
     @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part_id = TaskContext.get().partitionId()
-        for number, block in _blocks(batches, 1):
-            name = (part_id << 32) + number
-            h, at = words(block.column(1))
-            w, v = np.insert(h, at[1:], END), np.insert(h, at[:-1], START)
-            doc = np.repeat(np.arange(block.num_rows), np.diff(at) + 1)
-            where = mix(v)
-            if len(hot):
-                common = hot[np.minimum(np.searchsorted(hot, v), len(hot) - 1)] == v
-                where[common] = mix(v[common] ^ mix(w[common] + U(1)))
-            shard = (where % U(shards)).astype(np.int32)
+        for row in _each(batches):
+            b = Block(row)
+            shard = (mix(b.words) % U(shards)).astype(np.int32)
             order = np.argsort(shard, kind="stable")
+            counts = np.bincount(b.tokens[b.train], minlength=len(b.words))
             parts = np.split(order, np.flatnonzero(np.diff(shard[order])) + 1)
-            rows, held = [], np.asarray(block.column(2)).astype(bool)
-            for p in parts:
-                vs, ws = v[p], w[p]
-                with np.errstate(over="ignore"):
-                    _, first, back = np.unique(mix(vs) * U(0x9E3779B97F4A7C15) + ws, return_index=True, return_inverse=True)
-                pv, pw = vs[first], ws[first]
-                order = np.lexsort((pw, pv))
-                rank = np.empty(len(order), np.uint32)
-                rank[order] = np.arange(len(order))
-                pv, pw = pv[order], pw[order]
-                new = np.flatnonzero(np.append(True, pv[1:] != pv[:-1]))
-                docs, events = np.unique(doc[p], return_counts=True)
-                rows.append((int(shard[p[0]]), name, pack(pv[new]), pack(np.diff(np.append(new, len(pv))).astype(np.uint32)), pack(pw), pack(rank[back]), pack(docs.astype(np.uint32)), pack(events.astype(np.uint32)), pack(held[docs])))
-            columns = list(zip(*rows, strict=True))
-            yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int32()), pa.array(columns[1], pa.int64()), *(pa.array(c, pa.binary()) for c in columns[2:])], names=DEALT)
+            yield from _rows([(int(shard[p[0]]), b.number, None, None, pack(b.words[p]), pack(counts[p].astype(np.uint32)), None) for p in parts], ASKED).to_batches()
 
     return run
 
 
-DEALT = ["shard", "block", "contexts", "successors", "words", "events", "docs", "sizes", "held"]
-#: kind 0: sums of a block's texts; kind 1: words of a block that back off, for the shard that holds their counts.
-FOUND = schema(kind=INT, shard=INT, block=LONG, docs=BINARY, base=BINARY, known=BINARY, model=BINARY, words=BINARY)
-
-
-def _found(rows: list[tuple]) -> pa.RecordBatch:
-    columns = list(zip(*rows, strict=True)) if rows else [()] * 8
-    types = [pa.int32(), pa.int32(), pa.int64(), *[pa.binary()] * 5]
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=FOUND.names)
+@lean
+def _answer_words(key: tuple[pa.Scalar, ...], parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The first level: words and how often each occurs; and of block -1, how many tokens and different words there are."""
+    rows = [(r["block"].as_py(), unpack(r["successors"], U), unpack(r["counts"], np.uint32)) for r in _each(parts)]
+    u, back = np.unique(np.concatenate([x for _, x, _ in rows]), return_inverse=True)
+    n = np.bincount(back, np.concatenate([x for *_, x in rows]), len(u)).astype(np.int64)
+    with tempfile.TemporaryFile() as file:
+        level = EliasFano(u[n > 0], file)
+        at = file.tell()
+        file.write(n[n > 0].tobytes())
+        file.flush()
+        data = np.memmap(file, np.uint8, "r")
+    level.open(data)
+    counts = data[at:].view(np.int64) if at % 8 == 0 else np.frombuffer(data[at:].tobytes(), np.int64)
+    shard = key[0].as_py()
+    for block, w, _ in rows:
+        found = level.find(w)
+        yield from _rows([(shard, block, pack(np.where(found >= 0, counts[np.maximum(found, 0)] if len(counts) else 0, 0).astype(np.int64)), None, None)], ANSWER).to_batches()
+    yield from _rows([(shard, -1, None, int(counts.sum()), len(counts))], ANSWER).to_batches()
 
 
-def _score(shards: int, hot: np.ndarray, hot_counts: np.ndarray):
-    @lean
-    def run(key: tuple[pa.Scalar, ...], parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [b for b in parts if b.num_rows]
-        blocks = [(r[1].as_py(), *r[2:]) for b in held for r in zip(*b.columns, strict=True)]
-
-        def pairs(r):
-            contexts, k, w = unpack(r[1], U), unpack(r[2], np.uint32), unpack(r[3], U)
-            return np.repeat(contexts, k), w
-
-        def flags(r):
-            return np.repeat(unpack(r[7], bool), unpack(r[6], np.uint32))
-
-        v, w, n = [], [], []
-        for r in blocks:
-            pv, pw = pairs(r)
-            count = np.bincount(unpack(r[4], np.uint32)[~flags(r)], minlength=len(pw))
-            at = np.flatnonzero(count)
-            v.append(pv[at])
-            w.append(pw[at])
-            n.append(count[at])
-        v, w, n = np.concatenate(v), np.concatenate(w), np.concatenate(n)
-        # counts of contexts: all their events are here, but for hot ones
-        contexts, back = np.unique(v, return_inverse=True)
-        total = np.bincount(back, n, len(contexts)).astype(np.int64)
-        if len(hot) and len(contexts):
-            place = np.minimum(np.searchsorted(hot, contexts), len(hot) - 1)
-            total = np.where(hot[place] == contexts, hot_counts[place], total)
-        trie = Trie(v, w, n, total[back])
-        del v, w, n, back
-        for r in blocks:
-            pv, pw = pairs(r)
-            if len(contexts):
-                place = np.minimum(np.searchsorted(contexts, pv), len(contexts) - 1)
-                c = np.where(contexts[place] == pv, total[place], 0)
-            else:
-                c = np.zeros(len(pv), np.int64)
-            if len(hot):
-                place = np.minimum(np.searchsorted(hot, pv), len(hot) - 1)
-                c = np.where(hot[place] == pv, hot_counts[place], c)
-            model = trie.scores(pv, pw)
-            missing = np.isnan(model)
-            model = np.where(missing, np.where(c > 0, np.log10(BETA), 0.0), model)
-            events, sizes = unpack(r[4], np.uint32), unpack(r[6], np.uint32)
-            row = np.repeat(np.arange(len(sizes)), sizes)
-            word = pv[events] != START
-            add = lambda x: np.bincount(row, x, len(sizes))
-            yield _found([(0, -1, r[0], r[5].as_py(), pack(add(np.where(word, np.log10(c + 0.5)[events], 0.0))), pack(add((word & (c > 0)[events]).astype(float)).astype(np.uint32)), pack(add(model[events]).astype(np.float32)), None)])
-            off = np.flatnonzero(missing[events])
-            if len(off):
-                docs, target = unpack(r[5], np.uint32)[row[off]], pw[events[off]]
-                shard = (mix(target) % U(shards)).astype(np.int32)
-                order = np.argsort(shard, kind="stable")
-                yield _found([(1, int(shard[p[0]]), r[0], pack(docs[p]), None, None, None, pack(target[p])) for p in np.split(order, np.flatnonzero(np.diff(shard[order])) + 1)])
+@lean
+def _answer(key: tuple[pa.Scalar, ...], parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A shard's part of a level, built of all questions; what each finds in it."""
+    rows = [(r["block"].as_py(), unpack_bits(r["contexts"], CONTEXT), unpack(r["sizes"], np.uint32), unpack_bits(r["successors"], PRINT), unpack(r["counts"], np.uint32), unpack(r["totals"], np.int64)) for r in _each(parts)]
+    v, k, w, n, total = (np.concatenate([r[i] for r in rows]) for i in range(1, 6))
+    trie = Trie(np.repeat(v, k), w, n, np.repeat(total, k))
+    found = trie.find(v, k, w)
+    at = 0
+    for block, _, _, own, *_ in rows:
+        yield from _rows([(key[0].as_py(), block, pack(found[at : at + len(own)]), None, None)], ANSWER).to_batches()
+        at += len(own)
+
+
+def _learned(level: int, shards: int):
+    """Blocks with what a level answered: counts of their words, or shares of their pairs."""
+
+    @_freed
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not left.num_rows:
+            return _rows([], BLOCK)
+        row = {name: left.column(name)[0] for name in BLOCK}
+        b = Block(row)
+        answers = dict(zip(right.column("shard").to_pylist(), right.column("found"), strict=True))
+        if level == 1:
+            counts = np.zeros(len(b.words), np.int64)
+            shard = (mix(b.words) % U(shards)).astype(np.int32)
+            for s, x in answers.items():
+                counts[shard == s] = unpack(x, np.int64)
+            new = {"counts": pack(counts)}
+        else:
+            b.pairs()
+            new = {"pairs": pack(b.answered(shards, {s: unpack(x, np.uint16) for s, x in answers.items()}))}
+        return _rows([tuple(new[c] if c in new else row[c].as_py() for c in BLOCK)], BLOCK)
 
     return run
 
 
-def _back_off(scale: float):
+def _ask(level: int, shards: int):
     @lean
-    def run(key: tuple[pa.Scalar, ...], parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = [r for b in parts for r in zip(*b.columns, strict=True)]
-        known = [r for r in rows if r[0].as_py() == 2]
-        u, n = (unpack(known[0][7], U), unpack(known[0][4], np.int64)) if known else (np.zeros(0, U), np.zeros(0, np.int64))
-        for r in rows:
-            if r[0].as_py() != 1:
-                continue
-            w, docs = unpack(r[7], U), unpack(r[3], np.uint32)
-            c = np.zeros(len(w))
-            if len(u):
-                at = np.minimum(np.searchsorted(u, w), len(u) - 1)
-                c = np.where(u[at] == w, n[at], 0)
-            docs, back = np.unique(docs, return_inverse=True)
-            nothing = np.zeros(len(docs))
-            yield _found([(0, -1, r[2].as_py(), pack(docs), pack(nothing), pack(nothing.astype(np.uint32)), pack(np.bincount(back, np.log10((c + 0.5) / scale), len(docs)).astype(np.float32)), None)])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for row in _each(batches):
+            b, pairs = Block(row), None
+            b.pairs()
+            if level == 3:
+                pairs = unpack(row["pairs"], np.uint16)
+                b.triples(pairs)
+            yield from _rows(b.questions(shards, pairs), ASKED).to_batches(max_chunksize=16)
 
     return run
 
 
-def _sum(n: int, scale: float, ends: int):
-    """Sums of each text of a block, from all shards and the block's own list of texts."""
-
-    @lean
-    def run(key: tuple[pa.Scalar, ...], parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, held, size, got = None, None, None, []
-        for batch in parts:
-            for kind, block, docs, base, known, model, extra in zip(*(batch.column(i) for i in range(7)), strict=True):
-                if kind.as_py() == 3:
-                    ids, held, size = unpack(docs, np.int64), unpack(base, np.uint8), unpack(known, np.int64)
-                    null = unpack(extra, bool)
-                else:
-                    got.append((unpack(docs, np.uint32), unpack(base, np.float64), unpack(known, np.uint32), unpack(model, np.float32)))
-        sums = [np.zeros(len(ids)) for _ in range(3)]
-        for docs, *values in got:
-            for s, x in zip(sums, values, strict=True):
-                s[docs] += x
-        tokens = size + 1
-        base = sums[0] + np.log10(ends + 0.5) - tokens * np.log10(scale)
-        yield pa.RecordBatch.from_pydict({"doc_id": pa.array(ids, mask=null), "held_out": pa.array(held.astype(bool)), "n_tokens": pa.array(tokens), "n_known": pa.array(sums[1].astype(np.int64) + (ends > 0)), "train_tokens": pa.array(np.full(len(ids), n)), "base_score": pa.array(base), "score": pa.array(sums[2])})
+def _scores(n: int, scale: float, shards: int):
+    @_freed
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not left.num_rows:
+            return SCORES.empty_table()
+        row = {name: left.column(name)[0] for name in BLOCK}
+        b, pairs = Block(row), unpack(row["pairs"], np.uint16)
+        b.pairs()
+        b.triples(pairs)
+        triples = b.answered(shards, {s: unpack(x, np.uint16) for s, x in zip(right.column("shard").to_pylist(), right.column("found"), strict=True)}, pairs)
+        one = (b.counts + 0.5) / scale
+        of_pair = np.where(b.of_context > 0, share(pairs) + BETA * one[b.w], one[b.w])
+        p = of_pair[b.pair]
+        of_triple = np.where(b.of_pair[b.p] > 0, share(triples), -1.0)[b.triple]
+        p[b.inner] = np.where(of_triple >= 0, of_triple + BETA * p[b.inner], p[b.inner])
+        add = lambda x: np.add.reduceat(x[b.tokens], b.first)
+        columns = [pa.array(b.ids, mask=b.null), pa.array(b.held), pa.array(b.sizes), pa.array(add((b.counts > 0).astype(np.int64))), pa.array(np.full(len(b.ids), n)), pa.array(add(np.log10(b.counts + 0.5)) - b.sizes * np.log10(scale)), pa.array(np.add.reduceat(np.log10(p), b.first))]
+        return pa.Table.from_arrays(columns, schema=SCORES)
 
     return run
 
 
-@lean
-def _lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each block's texts: ids, folds and sizes."""
-    part_id = TaskContext.get().partitionId()
-    for number, block in _blocks(batches, 1):
-        ids, held = block.column(0), block.column(2)
-        _, at = words(block.column(1))
-        row = [(3, (part_id << 32) + number, pack(np.asarray(ids.fill_null(0))), pack(np.asarray(held).astype(np.uint8)), pack(np.diff(at).astype(np.int64)), None, pack(np.asarray(ids.is_null())))]
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*row, strict=True), [pa.int32(), pa.int64(), *[pa.binary()] * 5], strict=True)], names=["kind", "block", "docs", "base", "known", "model", "extra"])
+SCORES = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
 
 
 def language_scores(documents: DataFrame) -> DataFrame:
@@ -382,23 +434,17 @@ def language_scores(documents: DataFrame) -> DataFrame:
     training rows every score is that of the smoothed unigram over no words.  An empty table gives an empty table."""
     spark = documents.sparkSession
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text", held_out().alias("held"))
-    chars = docs.agg(F.sum(F.length("text"))).first()[0] or 0
-    shards = max(12, -(-int(chars) // (6 * SHARD)))
-    counts = docs.where("not held").select("text").mapInArrow(_count(shards), schema(shard=INT, words=BINARY, counts=BINARY)).groupBy("shard")
-    unigrams, uni_at = stored(counts.applyInArrow(_merge, schema(shard=INT, words=BINARY, counts=BINARY, n=LONG, v=LONG, top=BINARY, top_counts=BINARY)), "unigrams")
-    n, v = (int(x or 0) for x in unigrams.agg(F.sum("n"), F.sum("v")).first())
-    scale = n + 0.5 * (v + 1)
-    ends = docs.where("not held").count()
-    tops = unigrams.select("top", "top_counts").toArrow()  # HOT for each shard at most
-    hot = [(int(h), int(c)) for a, b in zip(tops.column(0), tops.column(1), strict=True) for h, c in zip(unpack(a, U), unpack(b, np.int64), strict=True) if c * HOT > n and h != END]
-    hot = sorted([*hot, (int(START), ends)])
-    keys, values = np.array([x[0] for x in hot], U), np.array([x[1] for x in hot], np.int64)
-    dealt = docs.mapInArrow(_deal(shards, keys), T.StructType([T.StructField(c, t) for c, t in zip(DEALT, [INT, LONG, *[BINARY] * 7], strict=True)]))
-    found, found_at = stored(dealt.groupBy("shard").applyInArrow(_score(shards, keys, values), FOUND), "scores")
-    table = unigrams.select(F.lit(2).alias("kind"), "shard", F.lit(-1).cast("long").alias("block"), F.lit(None).cast("binary").alias("docs"), F.col("counts").alias("base"), F.lit(None).cast("binary").alias("known"), F.lit(None).cast("binary").alias("model"), "words")
-    backed, backed_at = stored(found.where("kind = 1").unionAll(table).groupBy("shard").applyInArrow(_back_off(scale), FOUND), "back-off")
-    # written by itself, as a union would number its partitions, hence its blocks, otherwise
-    lists, _ = stored(docs.mapInArrow(_lists, schema(kind=INT, block=LONG, docs=BINARY, base=BINARY, known=BINARY, model=BINARY, extra=BINARY)), "lists")
-    sums = found.where("kind = 0").unionAll(backed).select("kind", "block", "docs", "base", "known", "model", F.lit(None).cast("binary").alias("extra"))
-    discard(spark, uni_at)
-    return sums.unionAll(lists).groupBy("block").applyInArrow(_sum(n, scale, ends), schema(doc_id=LONG, held_out=T.BooleanType(), n_tokens=LONG, n_known=LONG, train_tokens=LONG, base_score=DOUBLE, score=DOUBLE))
+    blocks, blocks_at = stored(docs.mapInArrow(_cut, schema(**BLOCK)), "blocks")
+    size = blocks.agg(F.sum(F.length("tokens"))).first()[0] or 0
+    shards = max(12, -(-int(size) // SHARD))  # a token packs to a byte or two, and is one n-gram at most
+    for level in (1, 2):
+        asked = blocks.mapInArrow(_ask_words(shards) if level == 1 else _ask(2, shards), schema(**ASKED))
+        answers, answers_at = stored(asked.groupBy("shard").applyInArrow(_answer_words if level == 1 else _answer, schema(**ANSWER)), "answers")
+        if level == 1:
+            n, v = (int(x or 0) for x in answers.agg(F.sum("n"), F.sum("v")).first())
+        learned, learned_at = stored(blocks.groupBy("block").cogroup(answers.where("block >= 0").groupBy("block")).applyInArrow(_learned(level, shards), schema(**BLOCK)), "blocks")
+        discard(spark, blocks_at, answers_at)
+        blocks, blocks_at = learned, learned_at
+    answers = blocks.mapInArrow(_ask(3, shards), schema(**ASKED)).groupBy("shard").applyInArrow(_answer, schema(**ANSWER))
+    fields = schema(doc_id=LONG, held_out=T.BooleanType(), n_tokens=LONG, n_known=LONG, train_tokens=LONG, base_score=DOUBLE, score=DOUBLE)
+    return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_scores(n, n + 0.5 * (v + 1), shards), fields)

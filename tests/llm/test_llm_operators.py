@@ -486,34 +486,53 @@ def test_language_scores(spark, docs, rows, monkeypatch):
     def held(d):
         return d is not None and zlib.crc32(str(d).encode()) % 5 == 1
 
-    c, pairs, contexts = Counter(), Counter(), Counter()
+    c, grams = Counter(), [Counter(), Counter(), Counter(), Counter()]  # words; pairs and triples, and their contexts
     for d, t in rows:
         if not held(d):
             w = ["<s>", *words(t), "</s>"]
             c.update(w[1:])
-            pairs.update(zip(w, w[1:], strict=False))
-            contexts.update(w[:-1])
+            for k in (2, 3):
+                for i in range(len(w) - k + 1):
+                    grams[k - 2][tuple(w[i : i + k])] += 1
+                    grams[k][tuple(w[i : i + k - 1])] += 1
     n, v = sum(c.values()), len(c)
     scale = n + 0.5 * (v + 1)
+
+    def p(gram):
+        w = gram[-1]
+        out = (c[w] + 0.5) / scale
+        if len(gram) > 1:
+            for k in range(2, len(gram) + 1):
+                if grams[k][gram[-k:-1]]:
+                    out = 0.6 * grams[k - 2][gram[-k:]] / grams[k][gram[-k:-1]] + 0.4 * out
+        return out
+
+    for context in (("<s>",), ("<s>", "one"), (words(rows[0][1])[-1],), ("never", "seen"), tuple(words(rows[7][1])[:2]), tuple(words(rows[20][1])[3:5])):
+        assert math.isclose(sum(p((*context, w)) for w in [*c, "a word that no text has"]), 1)
     want = {}
     for d, t in rows:
         w = ["<s>", *words(t), "</s>"]
         base = sum(math.log10((c[x] + 0.5) / scale) for x in w[1:])
-        model = sum(math.log10(0.6 * pairs[p] / contexts[p[0]]) if pairs[p] else (math.log10(0.4) if contexts[p[0]] else 0) + math.log10((c[p[1]] + 0.5) / scale) for p in zip(w, w[1:], strict=False))
+        model = sum(math.log10(p(tuple(w[max(0, i - 2) : i + 1]))) for i in range(1, len(w)))
         want[d, len(w) - 1] = (held(d), sum(c[x] > 0 for x in w[1:]), n, base, model)
-    for packed in (ngram_lm.PACKED, 50):
+    for packed, shard, hot, frame in ((ngram_lm.PACKED, ngram_lm.SHARD, ngram_lm.HOT, docs), (50, 100, 3, docs), (300, 50, 20, docs.repartition(5))):
         monkeypatch.setattr(ngram_lm, "PACKED", packed)
-        got = ngram_lm.language_scores(docs).collect()
-        assert len(got) == len(rows)
+        monkeypatch.setattr(ngram_lm, "SHARD", shard)
+        monkeypatch.setattr(ngram_lm, "HOT", hot)
+        got = ngram_lm.language_scores(frame).collect()
+        assert Counter(r["doc_id"] for r in got) == Counter(d for d, _ in rows)
         for r in got:
             h, known, train, base, model = want[r["doc_id"], r["n_tokens"]]
             assert (r["held_out"], r["n_known"], r["train_tokens"]) == (h, known, train)
-            assert math.isclose(r["base_score"], base, rel_tol=1e-9) and abs(r["score"] - model) < 0.05 * r["n_tokens"]
+            # each share is off by half a step of the quantiser at most
+            assert math.isclose(r["base_score"], base, rel_tol=1e-9) and abs(r["score"] - model) <= 0.51 / ngram_lm.GRID * r["n_tokens"]
     assert ngram_lm.language_scores(empty(spark)).count() == 0
+    only = spark.createDataFrame([(d, t) for d, t in rows if held(d)], "doc_id long, text string")
+    assert {(r["train_tokens"], r["n_known"]) for r in ngram_lm.language_scores(only).collect()} == {(0, 0)}
 
 
 def test_elias_fano(tmp_path):
-    from motifold.llm.ngram_lm import EliasFano, Trie
+    from motifold.llm.ngram_lm import NONE, EliasFano, Trie, share
 
     rng = np.random.default_rng(3)
     for values in (np.zeros(0, np.uint64), np.array([2**64 - 1], np.uint64), np.sort(rng.integers(0, 1 << 63, 1000, dtype=np.uint64)), np.sort(rng.integers(0, 1200, 1000).astype(np.uint64))):
@@ -527,8 +546,15 @@ def test_elias_fano(tmp_path):
         missing = np.setdiff1d(rng.integers(0, 1 << 63, 100, dtype=np.uint64), values)
         assert (ef.find(missing) == -1).all()
     v, w = rng.integers(0, 1 << 63, 50, dtype=np.uint64).repeat(4), rng.integers(0, 1 << 63, 200, dtype=np.uint64)
-    trie = Trie(v, w, np.ones(200, np.int64), np.full(200, 4))
-    assert (trie.successors(v) == 4).all() and np.allclose(trie.scores(v, w), math.log10(0.6 / 4)) and np.isnan(trie.scores(w, v)).all()
+    w &= np.uint64((1 << 40) - 1)
+    order = np.lexsort((w, v))
+    v, w = v[order], w[order]
+    trie = Trie(np.append(v, v), np.append(w, w), np.append(np.ones(200, np.int64), np.ones(200, np.int64)), np.zeros(400, np.int64))
+    assert (trie.successors(v) == 4).all() and np.allclose(share(trie.find(v[::4], np.full(50, 4), w)), 0.6 / 4, rtol=3e-4)
+    assert (trie.find(v[::4], np.full(50, 4), w ^ np.uint64(1)) == NONE).all() and (trie.find(v[::4] ^ np.uint64(1), np.full(50, 4), w) == NONE).all()
+    assert (trie.find(v[:4], np.array([1] * 4), w[:4]) != NONE).all()
+    hot = Trie(v, w, np.ones(200, np.int64), np.full(200, 1000))
+    assert np.allclose(share(hot.find(v[::4], np.full(50, 4), w)), 0.6 / 1000, rtol=3e-4)
 
 
 def test_near_vectors(spark, monkeypatch):
