@@ -5,24 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import discard, stored
-
-#: A node with more than one in HUBS of all links, and more than LEAST, is a hub: there are 2 * HUBS of them at most.
-HUBS, LEAST = 1000, 256
-
+from .shared import discard, looked_up, stored
 
 def _with_least(links: DataFrame, total: int) -> tuple[DataFrame, DataFrame]:
-    """``u, v, m`` for links (u, v): m is the least v of u.  No task holds a hub's links.
-
-    The least neighbours come from a grouping that combines before it shuffles.  They are joined to the links by u, but
-    those of hubs, a list of bounded length, are sent to all tasks."""
+    """``u, v, m`` for links (u, v): m is the least v of u, and the table of these.  No task holds a hub's links: the
+    grouping combines before it shuffles, and hubs are hot keys of the join."""
     least = links.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).persist()
-    hubs = least.where(F.col("n") > max(LEAST, 2 * total // HUBS)).select("u", "m").collect()
-    least_of = least.select("u", "m")
-    if not hubs:
-        return links.join(least_of, "u"), least
-    few = F.broadcast(links.sparkSession.createDataFrame(hubs, least_of.schema))
-    return links.join(few, "u").unionByName(links.join(few.select("u"), "u", "left_anti").join(least_of, "u")), least
+    return looked_up(links, least, ["u"], 2 * total), least
 
 
 def components(links: DataFrame, a: str = "a", b: str = "b") -> tuple[DataFrame, str]:

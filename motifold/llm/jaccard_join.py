@@ -10,7 +10,7 @@ Exact for every pair of different shingle sets, in four steps that each follow t
    that a group of thousands of near copies needs no further look at its pairs.
 3. *Product*.  The columns (n-grams) of each row are ordered, common ones last, and only a row's first
    ``n - ceil(t n) + 1`` columns are kept: two sets of similarity t must meet in them, whatever the order.  Columns are
-   dealt into blocks; a block multiplies its part of the matrix with its transpose, leaving out pairs of one component
+   dealt into blocks, long ones as pairs of chunks of their rows; a block multiplies its part of the matrix with its transpose, leaving out pairs of one component
    and pairs whose sizes, or a common column's places in both rows, rule a link out.  Overlap counts are summed over blocks, and pairs that can't reach the needed
    overlap even if all other columns agreed are dropped.
 4. *Verify*.  The pairs left are compared by their whole sets."""
@@ -26,12 +26,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import BINARY, INT, LONG, bitmap, discard, lean, schema, slot, stored
+from .shared import BINARY, INT, LONG, bitmap, discard, lean, looked_up, schema, slot, stored
 from .shingles import U, mix, shingles, spans
 
 #: Min-hashes of a profile, and how many must agree for the collapsing step to compare two classes.
 MINS, AGREE = 8, 3
-#: Members of a group that a tile of it holds, about, besides those that aren't of the group's largest component.
+#: Members of a group that a tile of it holds, about.
 TILE = 512
 #: Shingles that a block of texts counts before it tells which repeat, and how often one must.
 COUNTED, REPEATS = 1_000_000, 2
@@ -43,6 +43,8 @@ ENTRIES = 1_000_000
 BLOCKS = 6
 #: Pairs that a block looks at together.
 TOGETHER = 500_000
+#: Rows of a column that one task pairs with one another, about: longer columns are cut into chunks, dealt in pairs.
+CHUNK = 4096
 
 _SEEDS = np.random.default_rng(99).integers(1, 1 << 63, MINS, dtype=np.uint64) | U(1)
 
@@ -128,7 +130,7 @@ def _tile(percent: int):
     def run(key: tuple[pa.Scalar, ...], parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at_home, guests = [], []
         for batch in parts:
-            for _, _, rep, comp, guest, members in zip(*batch.columns, strict=True):
+            for rep, comp, guest, members in zip(*(batch.column(c) for c in ("rep", "comp", "guest", "members")), strict=True):
                 (guests if guest.as_py() else at_home).append((rep.as_py(), comp.as_py(), np.frombuffer(members.as_buffer(), U).copy()))
         if not at_home or not guests:
             return
@@ -176,8 +178,37 @@ def _first_columns(common: np.ndarray, percent: int):
     return run
 
 
-def _deal(blocks: int):
-    """Rows (block, documents, sizes, components, entries' documents, places and columns) of packed arrays, one for each block and batch."""
+def _kept_counts(listed: np.ndarray):
+    """How many rows of a batch keep each of the listed columns (in order of hash)."""
+
+    @lean
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            h, n = np.unique(np.concatenate([np.frombuffer(x.as_buffer(), U) for x in batch.column(0)]), return_counts=True)
+            hit = listed[np.minimum(np.searchsorted(listed, h), len(listed) - 1)] == h
+            yield pa.RecordBatch.from_pydict({"h": pa.array(h[hit].view(np.int64)), "n": pa.array(n[hit])})
+
+    return run
+
+
+def chunks(h: np.ndarray, ids: np.ndarray, long: np.ndarray, cut: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Entries of long columns, once for each pair of chunks that theirs is in: (entry, column and pair as a hash, side).
+
+    Sides 0 and 1 are the pair's two chunks, which are only paired with one another; 2 is a chunk with itself."""
+    at = np.minimum(np.searchsorted(long, h), max(0, len(long) - 1))
+    hit = np.flatnonzero(long[at] == h) if len(long) else np.zeros(0, np.int64)
+    m = cut[at[hit]] if len(hit) else np.zeros(0, np.int64)
+    own = (mix(mix(ids[hit].astype(U)) + U(7)) % m.astype(U)).astype(np.int64) if len(hit) else m
+    entry, mine, n = np.repeat(hit, m), np.repeat(own, m), np.repeat(m, m)
+    other = np.arange(len(entry)) - np.repeat(np.cumsum(m) - m, m)
+    with np.errstate(over="ignore"):
+        key = mix(h[entry] ^ mix((np.minimum(mine, other) * n + np.maximum(mine, other) + 1).astype(U)))
+    return entry, key, np.where(mine == other, 2, mine > other).astype(np.int8)
+
+
+def _deal(blocks: int, long: np.ndarray, into: np.ndarray):
+    """Rows (block, documents, sizes, components, entries' documents, places, columns and sides) of packed arrays, one for
+    each block and batch."""
 
     @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -188,15 +219,19 @@ def _deal(blocks: int):
             if not len(row):
                 continue
             h, place = np.concatenate(cols), np.concatenate([np.arange(len(x), dtype=np.int32) for x in cols])
+            entry, key, side = chunks(h, ids[row], long, into)
+            whole = np.ones(len(h), bool)
+            whole[entry] = False
+            h, row, place, side = np.concatenate([h[whole], key]), np.concatenate([row[whole], row[entry]]), np.concatenate([place[whole], place[entry]]), np.concatenate([np.full(int(whole.sum()), 2, np.int8), side])
             block = (mix(h) % U(blocks)).astype(np.int32)
             order = np.argsort(block, kind="stable")
             cut = np.flatnonzero(np.diff(block[order])) + 1
             rows = []
             for part in np.split(order, cut):
                 docs, at = np.unique(row[part], return_inverse=True)
-                rows.append((int(block[part[0]]), ids[docs].tobytes(), n[docs].astype(np.int32).tobytes(), comp[docs].tobytes(), group[docs].tobytes(), at.astype(np.int32).tobytes(), place[part].tobytes(), h[part].tobytes()))
+                rows.append((int(block[part[0]]), ids[docs].tobytes(), n[docs].astype(np.int32).tobytes(), comp[docs].tobytes(), group[docs].tobytes(), at.astype(np.int32).tobytes(), place[part].tobytes(), h[part].tobytes(), side[part].tobytes()))
             block, *packed = zip(*rows, strict=True)
-            yield pa.RecordBatch.from_arrays([pa.array(block, pa.int32()), *(pa.array(x, pa.binary()) for x in packed)], names=["block", "docs", "sizes", "comps", "groups", "at", "places", "cols"])
+            yield pa.RecordBatch.from_arrays([pa.array(block, pa.int32()), *(pa.array(x, pa.binary()) for x in packed)], names=["block", "docs", "sizes", "comps", "groups", "at", "places", "cols", "sides"])
 
     return run
 
@@ -206,9 +241,9 @@ def _product(percent: int):
 
     @lean
     def run(key: tuple[pa.Scalar, ...], parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, n, comp, group, at, place, h, base = [], [], [], [], [], [], [], 0
+        ids, n, comp, group, at, place, h, side, base = [], [], [], [], [], [], [], [], 0
         for batch in parts:
-            for _, a, b, c, g, d, f, e in zip(*batch.columns, strict=True):
+            for _, a, b, c, g, d, f, e, x in zip(*batch.columns, strict=True):
                 ids.append(np.frombuffer(a.as_buffer(), np.int64))
                 n.append(np.frombuffer(b.as_buffer(), np.int32))
                 comp.append(np.frombuffer(c.as_buffer(), np.int64))
@@ -216,16 +251,17 @@ def _product(percent: int):
                 at.append(np.frombuffer(d.as_buffer(), np.int32).astype(np.int64) + base)
                 place.append(np.frombuffer(f.as_buffer(), np.int32))
                 h.append(np.frombuffer(e.as_buffer(), U))
+                side.append(np.frombuffer(x.as_buffer(), np.int8))
                 base += len(ids[-1])
-        ids, n, comp, group, at, place, h = (np.concatenate(x) for x in (ids, n, comp, group, at, place, h))
+        ids, n, comp, group, at, place, h, side = (np.concatenate(x) for x in (ids, n, comp, group, at, place, h, side))
         order = np.argsort(h)
-        h, at, place = h[order], at[order], place[order]
+        h, at, place, side = h[order], at[order], place[order], side[order]
         same = np.zeros(len(h) + 1, bool)
         same[1:-1] = h[1:] == h[:-1]
         several = same[:-1] | same[1:]
-        h, at, place = h[several], at[several], place[several]
+        h, at, place, side = h[several], at[several], place[several], side[several]
         order = np.lexsort((comp[at], h))
-        h, at, place = h[order], at[order], place[order]
+        h, at, place, side = h[order], at[order], place[order], side[order]
         if not len(h):
             return
         edge = np.flatnonzero(np.concatenate([h[1:] != h[:-1], [True]])) + 1
@@ -246,6 +282,7 @@ def _product(percent: int):
             # what both can have before, at and after a column that is the i-th of one and the j-th of the other
             fits = np.minimum(i, j) + 1 + np.minimum(n[x] - i, n[y] - j) - 1 >= needed(n[x].astype(np.int64) + n[y], percent)
             fits &= group[x] != group[y]  # the tiles have compared these
+            fits &= (side[left] == 2) | (side[left] != side[right])
             x, y = x[fits], y[fits]
             new, add = np.unique(np.minimum(x, y) * len(ids) + np.maximum(x, y), return_counts=True)
             keys, back = np.unique(np.concatenate([keys, new]), return_inverse=True)
@@ -290,8 +327,8 @@ def jaccard_components(documents: DataFrame, percent: int = 75) -> DataFrame:
 
     # collapse: each class against the first class of the group that shares most of its min-hashes
     keys = classes.select("rep", "n", F.posexplode("mins").alias("at", "h"))
-    firsts = keys.groupBy("at", "h").agg(F.min("rep").alias("a"), F.count("*").alias("k")).where("k > 1").select("at", "h", "a")
-    shared = keys.join(firsts, ["at", "h"]).where("a < rep").groupBy("rep", "a").agg(F.count("*").alias("agree")).where(F.col("agree") >= AGREE)
+    firsts = keys.groupBy("at", "h").agg(F.min("rep").alias("a"), F.count("*").alias("n")).where("n > 1")
+    shared = looked_up(keys, firsts, ["at", "h"], MINS * classes.count()).where("a < rep").groupBy("rep", "a").agg(F.count("*").alias("agree")).where(F.col("agree") >= AGREE)
     best = shared.groupBy("rep").agg(F.max_by("a", F.struct("agree", -F.col("a"))).alias("a"))
     near, near_at = stored(best.select("a", F.col("rep").alias("b")), "near")
     first_links, first_at = stored(_linked(docs, near, percent), "links")
@@ -299,26 +336,37 @@ def jaccard_components(documents: DataFrame, percent: int = 75) -> DataFrame:
     # and each group's components with one another, by whole sets: what isn't of the largest meets every tile of the group
     member = near.select(F.col("a").alias("g"), F.col("b").alias("rep")).union(near.select(F.col("a").alias("g"), F.col("a").alias("rep")).distinct())
     member = member.join(labels.select(F.col("node").alias("rep"), "component"), "rep", "left").select("g", "rep", F.coalesce("component", "rep").alias("comp"))
-    largest = member.groupBy("g", "comp").agg(F.count("*").alias("k")).groupBy("g").agg(F.sum("k").alias("k"), F.count("*").alias("comps"), F.max_by("comp", F.struct("k", "comp")).alias("main")).where("comps > 1")
-    member = member.join(largest, "g").withColumn("tiles", F.ceil(F.col("k") / TILE).cast("int"))
-    home = member.select("g", F.pmod(F.xxhash64("rep"), F.col("tiles")).cast("int").alias("tile"), "rep", "comp", F.lit(False).alias("guest"))
-    guests = member.where("comp != main").select("g", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("tile"), "rep", "comp", F.lit(True).alias("guest"))
+    largest = member.groupBy("g", "comp").agg(F.count("*").alias("k")).groupBy("g").agg(F.sum("k").alias("n"), F.count("*").alias("comps"), F.max_by("comp", F.struct("k", "comp")).alias("main"), F.max("k").alias("most")).where("comps > 1")
+    cut = lambda k: F.ceil(k / TILE).cast("int")
+    largest = largest.select("g", "n", "main", cut(F.col("n")).alias("tiles"), cut(F.col("n") - F.col("most")).alias("halls"))
+    member, member_at = stored(member, "members")
+    member = looked_up(member, largest, ["g"], member.count())
+    # residents by tile and guests by hall: each tile meets each hall in a task of its own
+    deal = lambda n: F.pmod(F.xxhash64("rep"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    home = member.select("g", deal("tiles").alias("tile"), every("halls").alias("hall"), "rep", "comp", F.lit(False).alias("guest"))
+    guests = member.where("comp != main").select("g", "tiles", deal("halls").alias("hall"), "rep", "comp").select("g", every("tiles").alias("tile"), "hall", "rep", "comp", F.lit(True).alias("guest"))
     tiles, tiles_at = stored(home.union(guests), "tiles")
     sets = docs.select("doc_id", "text", slot("doc_id").alias("s")).mapInArrow(_sets(bitmap(tiles, "rep")), schema(doc_id=LONG, members=BINARY))
-    tiled = tiles.join(sets.withColumnRenamed("doc_id", "rep"), "rep").select("g", "tile", "rep", "comp", "guest", "members").groupBy("g", "tile").applyInArrow(_tile(percent), schema(a=LONG, b=LONG))
+    tiled = tiles.join(sets.withColumnRenamed("doc_id", "rep"), "rep").select("g", "tile", "hall", "rep", "comp", "guest", "members").groupBy("g", "tile", "hall").applyInArrow(_tile(percent), schema(a=LONG, b=LONG))
     more_links, more_links_at = stored(first_links.union(tiled).distinct(), "links")
-    discard(spark, first_at, labels_at, tiles_at)
+    discard(spark, first_at, labels_at, tiles_at, member_at)
     labels, labels_at = components(more_links)
     of_group = near.groupBy(F.col("b").alias("rep")).agg(F.min("a").alias("g"))
 
     # product
     entries = classes.agg(F.sum(kept_columns_sql(percent))).first()[0] or 0
     common = _commonest(profile.where("common is not null").groupBy("common").agg(F.sum("n").alias("n")))
-    firsts = docs.mapInArrow(_first_columns(common, percent), schema(doc_id=LONG, sig=BINARY, columns=BINARY))
+    firsts, firsts_at = stored(docs.mapInArrow(_first_columns(common, percent), schema(doc_id=LONG, sig=BINARY, columns=BINARY)), "columns")
+    found = firsts.select("columns").mapInArrow(_kept_counts(np.sort(common)), "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") > CHUNK).toArrow() if len(common) else None  # at most COMMON
+    long, cut = (np.asarray(found.column(0)).view(U), -(-np.asarray(found.column(1)) // CHUNK)) if found else (np.zeros(0, U), np.zeros(0, np.int64))
+    order = np.argsort(long)
+    long, cut = long[order], cut[order]
     reps = classes.join(labels.select(F.col("node").alias("rep"), "component"), "rep", "left").join(of_group, "rep", "left")
     reps = reps.select(F.col("rep").alias("doc_id"), "sig", F.col("n").alias("size"), F.coalesce("component", "rep").alias("comp"), F.coalesce("g", "rep").alias("g"))
-    dealt = firsts.join(reps, ["doc_id", "sig"]).select("doc_id", "size", "comp", "g", "columns").mapInArrow(_deal(max(BLOCKS, -(-int(entries) // ENTRIES))), "block int, docs binary, sizes binary, comps binary, groups binary, at binary, places binary, cols binary")
-    met = dealt.groupBy("block").applyInArrow(_product(percent), schema(a=LONG, b=LONG, na=INT, nb=INT, met=INT))
+    blocks = max(BLOCKS, -(-int(entries) // ENTRIES))
+    dealt = firsts.join(reps, ["doc_id", "sig"]).select("doc_id", "size", "comp", "g", "columns").mapInArrow(_deal(blocks, long, cut), "block int, docs binary, sizes binary, comps binary, groups binary, at binary, places binary, cols binary, sides binary")
+    met = dealt.repartition(max(blocks, int(spark.conf.get("spark.sql.shuffle.partitions"))), "block").groupBy("block").applyInArrow(_product(percent), schema(a=LONG, b=LONG, na=INT, nb=INT, met=INT))
     met = met.groupBy("a", "b", "na", "nb").agg(F.sum("met").alias("met"))
     rest = lambda c: F.col(c) - kept_columns_sql(percent, c)
     need = F.ceil(F.lit(percent) * (F.col("na") + F.col("nb")) / F.lit(100 + percent))
@@ -327,7 +375,7 @@ def jaccard_components(documents: DataFrame, percent: int = 75) -> DataFrame:
     one_id = rows.join(of_class, "sig").groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).where("doc_id is not null and a < b").select("a", "b")
     links = more_links.union(_linked(docs, open_pairs, percent)).union(one_id)
     labels2, _ = components(links)
-    discard(spark, near_at, open_at, labels_at, more_links_at)
+    discard(spark, near_at, open_at, labels_at, more_links_at, firsts_at)
     of_class = of_class.join(labels2.withColumnRenamed("node", "rep"), "rep", "left").select("sig", F.coalesce("component", "rep").alias("component"))
     out = rows.join(of_class, "sig", "left")
     own = F.coalesce("component", "doc_id")

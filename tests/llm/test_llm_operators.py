@@ -102,15 +102,37 @@ def test_jaccard(spark, docs, rows):
 
 
 def test_jaccard_tiles(spark, docs, rows, monkeypatch):
-    """Small tiles and blocks give what large ones give."""
-    from motifold.llm import jaccard_join
+    """Small tiles, blocks, chunks and hot keys give what large ones give."""
+    from motifold.llm import jaccard_join, shared
 
     want = Counter(map(tuple, jaccard_join.jaccard_components(docs).collect()))
     monkeypatch.setattr(jaccard_join, "TILE", 4)
     monkeypatch.setattr(jaccard_join, "ENTRIES", 50)
+    monkeypatch.setattr(jaccard_join, "CHUNK", 3)
+    monkeypatch.setattr(jaccard_join, "COUNTED", 2000)
+    monkeypatch.setattr(shared, "FEW", 2)
+    monkeypatch.setattr(shared, "HUBS", 10)
     assert Counter(map(tuple, jaccard_join.jaccard_components(docs).collect())) == want
 
 
+def test_jaccard_common_columns(spark, monkeypatch):
+    """Many short texts whose n-grams are common: every column is long, no group takes them all."""
+    from motifold.llm import jaccard_join
+
+    monkeypatch.setattr(jaccard_join, "CHUNK", 8)
+    monkeypatch.setattr(jaccard_join, "COUNTED", 500)
+    rng = random.Random(14)
+    lines = [" ".join(rng.choice("abcdefgh") + str(i) for i in range(6)) for _ in range(12)]
+    rows = [(i, " ".join(rng.choice(lines) for _ in range(rng.randint(1, 4)))) for i in range(400)]
+    sets = [(d, shingle_set(t)) for d, t in rows]
+    links = [(a, b) for i, (a, s) in enumerate(sets) for b, t in sets[:i] if 100 * len(s & t) >= 75 * len(s | t)]
+    of = components([d for d, _ in rows], links)
+    got = jaccard_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert Counter(map(tuple, got)) == Counter((d, len(s), of[d]) for d, s in sets)
+    cut = jaccard_join.chunks(np.array([5, 9, 5, 7], np.uint64), np.array([1, 2, 3, 4]), np.array([5], np.uint64), np.array([3]))
+    assert Counter(cut[0].tolist()) == {0: 3, 2: 3} and sorted(cut[2].tolist()).count(2) == 2
+
+
 def test_components_of_a_chain(spark):
     from motifold.llm.components import components as cc
 
@@ -122,9 +144,10 @@ def test_components_of_a_chain(spark):
 
 def test_components_with_hubs(spark, monkeypatch):
     from motifold.llm import components as c
+    from motifold.llm import shared
 
-    monkeypatch.setattr(c, "LEAST", 5)
-    monkeypatch.setattr(c, "HUBS", 50)
+    monkeypatch.setattr(shared, "FEW", 5)
+    monkeypatch.setattr(shared, "HUBS", 50)
     rng = random.Random(2)
     pairs = [(500, i) for i in range(0, 120, 2)] + [(0, i) for i in range(600, 660)] + [(rng.randrange(1000, 1400), rng.randrange(1000, 1400)) for _ in range(150)]
     want = components({x for p in pairs for x in p if p[0] != p[1]}, pairs)
@@ -595,11 +618,11 @@ def near_rows(ids, linked):
 
 def test_near_vectors_without_ids(spark, monkeypatch):
     """Rows without ids link others, and links go on through them; hubs beyond the bound."""
-    from motifold.llm import components as cc
     from motifold.llm import near_vectors as nv
+    from motifold.llm import shared
 
-    monkeypatch.setattr(cc, "LEAST", 3)
-    monkeypatch.setattr(cc, "HUBS", 20)
+    monkeypatch.setattr(shared, "FEW", 3)
+    monkeypatch.setattr(shared, "HUBS", 20)
     rng = np.random.default_rng(9)
     x = rng.normal(size=16)
     x /= np.linalg.norm(x)
