@@ -38,6 +38,7 @@ class ScanConfig:
     excludes: tuple[str, ...] = ()
     exclude_prefixes: tuple[str, ...] = ()
     full: bool = field(default=False)
+    length_given: bool = False  # whether min_block_length is somebody's choice
 
     def __post_init__(self):
         if re.search(r"\d", self.canonical) or not self.canonical:
@@ -76,7 +77,7 @@ class ScanConfig:
 
     def for_reads(self) -> ScanConfig:
         """Reads have no inner part: all of one is terminal, and blocks may be short."""
-        shorter = 42 if self.min_block_length == ScanConfig.min_block_length else self.min_block_length
+        shorter = 42 if not self.length_given and self.min_block_length == ScanConfig.min_block_length else self.min_block_length
         return replace(self, terminal_limit=(1 << 31) - 1, min_block_length=shorter, full=False, repeats=False, gc=False, entropy=False, matches=False, its=False)
 
 

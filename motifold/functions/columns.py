@@ -56,7 +56,7 @@ def primary_id(header: Column) -> Column:
 
 def strict_unsigned(text: Column) -> Column:
     """Digits only, within 64 bits; null otherwise."""
-    n = F.try_to_number(F.when(text.rlike("^[0-9]{1,20}$"), text), F.lit("9" * 20))
+    n = F.when(text.rlike("^0*[0-9]{1,20}$"), F.regexp_replace(text, "^0+(?=[0-9])", "")).try_cast("decimal(20,0)")
     return F.when(n <= F.lit("18446744073709551615").cast("decimal(20,0)"), n)
 
 

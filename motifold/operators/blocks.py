@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from ..config import ScanConfig
 from ..functions.columns import strand_label
-from .islands import gap_above, hull_breaks, islands
-from .matches import KEYS
+from .islands import gap_above, hull_breaks, islands, within
+from .matches import KEYS, TILE
 
 CONTIG = ["seq_pos", "header", "contig_no"]
 COUNTS = ["forward_count", "reverse_count", "canonical_count", "noncanonical_count", "covered", "forward_covered", "canonical_covered"]
@@ -32,12 +32,29 @@ def _folds() -> list[Column]:
     ]
 
 
+def _refolds() -> list[Column]:
+    """Folds of folds of runs in order."""
+    return [F.min("start").alias("start"), F.max("last_pos").alias("last_pos"), F.max_by("end", "last_pos").alias("end"), *(F.sum(x).alias(x) for x in ("n", *COUNTS))]
+
+
+def runs(found: DataFrame, keys: list[str], c: ScanConfig, stretch: int = TILE) -> DataFrame:
+    """``keys``, those of the contig and the folds of each run of matches whose starts lie within the match distance.
+
+    Runs are folded within stretches of a contig first, so no task holds all matches of one; what is left of a
+    stretch, which is less the denser its matches, is then joined to its neighbours'."""
+    inner = [*keys, "stretch"]
+    placed = found.withColumn("stretch", F.floor(F.col("pos") / stretch))
+    placed = placed.withColumn("breaks", gap_above("pos", inner, ["pos", "len"], c.max_match_distance))
+    names = list(dict.fromkeys([*KEYS, *keys]))
+    parts = islands(placed, inner, ["pos", "len"], F.col("breaks"), "part").groupBy(*names, "stretch", "part").agg(*_folds())
+    before = F.lag("last_pos").over(within(keys, ["start"]))
+    parts = parts.withColumn("breaks", before.isNull() | (F.col("start") - before > c.max_match_distance))
+    return islands(parts, keys, ["start"], F.col("breaks")).groupBy(*names, "island").agg(*_refolds())
+
+
 def strand_islands(found: DataFrame, c: ScanConfig) -> DataFrame:
-    """Runs of matches of one strand whose starts lie within the match distance; before any filter."""
-    keys = [*CONTIG, "is_forward"]
-    flagged = found.withColumn("breaks", gap_above("pos", keys, ["pos", "len"], c.max_match_distance))
-    numbered = islands(flagged, keys, ["pos", "len"], F.col("breaks"))
-    return numbered.groupBy(*KEYS, F.col("is_forward").alias("strand"), "island").agg(*_folds())
+    """Runs of matches of one strand; before any filter."""
+    return runs(found.withColumn("strand", F.col("is_forward")), [*CONTIG, "strand"], c)
 
 
 def terminal_blocks(found: DataFrame, c: ScanConfig) -> DataFrame:
@@ -47,12 +64,12 @@ def terminal_blocks(found: DataFrame, c: ScanConfig) -> DataFrame:
     terminal zone and be canonical and dense enough; those left merge over the block distance, and the hull must be long
     enough.  Orientation is valid if the block lies nearer to the end that its strand belongs to."""
     t, n = c.terminal_limit, F.col("contig_len")
-    runs = strand_islands(found, c)
+    every = strand_islands(found, c)
     zone = F.when(F.col("strand"), F.col("start") < t).otherwise(F.col("last_pos") >= n - t) | (n <= t)
     dense = F.col("canonical_covered").cast("float") >= F.lit(c.min_block_density).cast("float") * (F.col("end") - F.col("start")).cast("float")
-    runs = runs.where(zone & (F.col("n") >= c.min_matches) & (F.col("canonical_count") > 0) & dense)
+    good = every.where(zone & (F.col("n") >= c.min_matches) & (F.col("canonical_count") > 0) & dense)
     keys = [*CONTIG, "strand"]
-    flagged = runs.withColumn("breaks", hull_breaks("start", "end", keys, ["start", "end"], c.max_block_distance))
+    flagged = good.withColumn("breaks", hull_breaks("start", "end", keys, ["start", "end"], c.max_block_distance))
     merged = islands(flagged, keys, ["start", "end"], F.col("breaks"), "block").groupBy(*KEYS, "strand", "block").agg(F.min("start").alias("a"), F.max_by("end", "start").alias("b"), *(F.sum(x).alias(x) for x in COUNTS))
     left, right = F.col("a"), F.col("contig_len") - F.col("b")
     kept = merged.where(F.col("b") - F.col("a") >= c.min_block_length)
@@ -84,8 +101,6 @@ def interstitial_blocks(found: DataFrame, contigs: DataFrame, blocks: DataFrame,
     """Runs of matches of both strands between the boundaries, long and canonical enough; labelled by strand share."""
     inner = boundaries(contigs, blocks).where("inner_start < inner_end")
     between = found.join(inner, CONTIG).where((F.col("abs_pos") >= F.col("inner_start")) & (F.col("abs_pos") < F.col("inner_end")))
-    flagged = between.withColumn("breaks", gap_above("pos", CONTIG, ["pos", "len"], c.max_match_distance))
-    runs = islands(flagged, CONTIG, ["pos", "len"], F.col("breaks")).groupBy(*KEYS, "island").agg(*_folds())
     first = c.expanded()[0].length if c.expanded() else 0
-    kept = runs.where((F.col("end") - F.col("start") >= 2 * first) & (F.col("canonical_count") >= 4) & (F.col("n") >= 2))
+    kept = runs(between, CONTIG, c).where((F.col("end") - F.col("start") >= 2 * first) & (F.col("canonical_count") >= 4) & (F.col("n") >= 2))
     return kept.select("seq_pos", "header", "path_size", "contig_no", strand_label(F.col("forward_count"), F.col("n")).alias("label"), (F.col("contig_start") + F.col("start")).alias("start"), (F.col("contig_start") + F.col("end")).alias("end"), (F.col("end") - F.col("start")).alias("length"), *COUNTS)

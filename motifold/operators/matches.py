@@ -19,27 +19,31 @@ TILE = 1 << 16
 _CODE = np.full(256, 255, np.uint8)
 for _i, _c in enumerate(b"ACGT"):
     _CODE[_c] = _i
-#: Pattern lengths whose codes index a table; longer ones are found by binary search up to 31 bases.
-TABLE = 11
+#: Pattern lengths whose codes index a table; longer ones are found by binary search.
+TABLE = 10
+#: Bases of a code; of longer patterns the code of the first ones is found, then the rest compared.
+CODED = 31
+#: Bases of a batch of pieces, about.
+BATCH = 1 << 22
 
 
 class Kernel:
-    """For each pattern length, what each code is: bit 0 a pattern, 1 forward, 2 canonical."""
+    """For each pattern length, which pattern each code is (of its first bases), counted from 1."""
 
     def __init__(self, patterns: list[Pattern]):
+        self.patterns = sorted((p for p in patterns if p.pattern and set(p.pattern) <= set("ACGT")), key=lambda p: (p.length, p.pattern))
+        self.text = pa.array([p.pattern for p in self.patterns], pa.string())
+        self.length, self.forward, self.canonical = (np.array([getattr(p, k) for p in self.patterns], t) for k, t in (("length", np.int64), ("is_forward", bool), ("is_canonical", bool)))
         self.by_length: dict[int, tuple[np.ndarray | None, np.ndarray, np.ndarray]] = {}
-        if any(p.length > 31 for p in patterns):
-            raise ValueError("patterns have 31 bases at most")
-        for length in sorted({p.length for p in patterns}):
-            own = [p for p in patterns if p.length == length and set(p.pattern) <= set("ACGT")]
-            codes = np.array([self.code(p.pattern) for p in own], np.int64)
-            flags = np.array([1 | p.is_forward << 1 | p.is_canonical << 2 for p in own], np.uint8)
-            order = np.argsort(codes)
+        for length in sorted({p.length for p in self.patterns}):
+            own = np.flatnonzero(self.length == length)
+            codes = np.array([self.code(self.patterns[i].pattern[:CODED]) for i in own], np.int64)
+            order = np.argsort(codes, kind="stable")
             table = None
             if length <= TABLE:
-                table = np.zeros(4**length, np.uint8)
-                table[codes] = flags
-            self.by_length[length] = table, codes[order], flags[order]
+                table = np.zeros(4**length, np.int32)
+                table[codes] = own + 1
+            self.by_length[length] = table, codes[order], own[order] + 1
 
     @staticmethod
     def code(s: str) -> int:
@@ -48,42 +52,80 @@ class Kernel:
             n = n * 4 + "ACGT".index(c)
         return n
 
-    def find(self, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Row, place, length and flags of each match in texts data[off[i] : off[i + 1]]."""
+    def _long(self, data: np.ndarray, at: np.ndarray, first: np.ndarray, codes: np.ndarray, which: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+        """Places and patterns, of those that begin with the codes found, that agree in their other bases."""
+        rest = {}
+        for code, i in zip(codes, which, strict=True):
+            rest.setdefault(int(code), {})[self.patterns[i - 1].pattern.encode()] = i
+        found = [(p, rest[int(c)].get(data[p : p + length].tobytes(), 0)) for p, c in zip(at, first, strict=True)]
+        found = [x for x in found if x[1]]
+        return (np.array([x[i] for x in found], np.int64) for i in range(2))
+
+    def find(self, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Row, place and pattern (from 0) of each match in texts data[off[i] : off[i + 1]]."""
         base = _CODE[data]
         bad = np.concatenate([[0], np.cumsum(base == 255)])
-        rows, places, lengths, found = [], [], [], []
+        rows, places, found = [], [], []
         base = base.astype(np.int64)
-        for length, (table, codes, flags) in self.by_length.items():
+        for length, (table, codes, which) in self.by_length.items():
             n = len(base) - length + 1
             if n <= 0:
                 continue
             rolled = np.zeros(n, np.int64)
-            for j in range(length):
+            for j in range(min(length, CODED)):
                 rolled = rolled * 4 + (base[j : j + n] & 3)
             if table is not None:
-                f = table[rolled]
+                hit = table[rolled]
             else:
                 at = np.minimum(np.searchsorted(codes, rolled), len(codes) - 1)
-                f = np.where(codes[at] == rolled, flags[at], 0)
-            at = np.flatnonzero((f > 0) & (bad[length:] == bad[:n]))
+                hit = np.where(codes[at] == rolled, which[at], 0)
+            at = np.flatnonzero((hit > 0) & (bad[length:] == bad[:n]))
+            pattern = hit[at]
+            if length > CODED:
+                at, pattern = self._long(data, at, rolled[at], codes, which, length)
             row = np.searchsorted(off, at, "right") - 1
             inside = at + length <= off[row + 1]
             rows.append(row[inside])
             places.append((at - off[row])[inside])
-            lengths.append(np.full(inside.sum(), length))
-            found.append(f[at][inside])
+            found.append(pattern[inside].astype(np.int64) - 1)
         if not rows:
-            return (np.zeros(0, np.int64),) * 4
-        row, place, length, flag = (np.concatenate(x) for x in (rows, places, lengths, found))
-        order = np.lexsort((length, place, row))
-        return row[order], place[order], length[order], flag[order]
+            return (np.zeros(0, np.int64),) * 3
+        row, place, pattern = (np.concatenate(x) for x in (rows, places, found))
+        order = np.lexsort((self.length[pattern], place, row))
+        return row[order], place[order], pattern[order]
+
+
+def pieces(contigs: DataFrame, keys: list[str], step: int, size: int) -> DataFrame:
+    """``keys, piece, piece_start, bases``: of each contig the ``size`` bases (or what is left) from 0, step, 2 * step, ...
+
+    A contig is gone through once, whatever its length.  Letters beyond ASCII, which no pattern has, become question marks."""
+    table = contigs.select(*keys, "bases")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def batch_of(held):
+            rows = pa.array([i for i, *_ in held], pa.int64())
+            return pa.RecordBatch.from_arrays([*(batch.column(i).take(rows) for i in range(len(keys))), pa.array([n for _, n, _ in held], pa.int32()), pa.array([n * step for _, n, _ in held], pa.int64()), pa.array([x for *_, x in held], pa.string())], names=[*keys, "piece", "piece_start", "bases"])
+
+        for batch in batches:
+            held, bases = [], 0
+            for i, x in enumerate(batch.column(len(keys))):
+                text = x.as_py() or ""
+                text = text if text.isascii() else text.encode("ascii", "replace").decode()
+                for n, at in enumerate(range(0, max(1, len(text)), step)):
+                    held.append((i, n, text[at : at + size]))
+                    bases += len(held[-1][2]) + 100
+                    if bases >= BATCH:
+                        yield batch_of(held)
+                        held, bases = [], 0
+            if held:
+                yield batch_of(held)
+
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in table.schema if f.name != "bases")
+    return table.mapInArrow(run, f"{fields}, piece int, piece_start long, bases string")
 
 
 def tiles(contigs: DataFrame, longest: int, tile: int = TILE) -> DataFrame:
-    n = F.greatest(F.lit(0), F.floor((F.length("bases") - 1) / tile)).cast("int")
-    cut = contigs.withColumn("tile", F.explode(F.sequence(F.lit(0), n)))
-    return cut.withColumn("tile_start", (F.col("tile") * tile).cast("long")).withColumn("bases", F.substr("bases", (F.col("tile_start") + 1).cast("int"), F.lit(tile + longest - 1)))
+    return pieces(contigs, KEYS, tile, tile + longest - 1).withColumnsRenamed({"piece": "tile", "piece_start": "tile_start"})
 
 
 #: Columns of a match: place in the contig and in the sequence.
@@ -102,13 +144,12 @@ def matches(contigs: DataFrame, patterns: list[Pattern], tile: int = TILE) -> Da
             _, offsets, data = column.buffers()
             off = np.frombuffer(offsets, np.int64)[column.offset : column.offset + len(column) + 1]
             data = np.frombuffer(data, np.uint8)[off[0] : off[-1]] if data is not None and len(column) else np.zeros(0, np.uint8)
-            row, place, length, flag = kernel.find(data, off - off[0])
+            row, place, pattern = kernel.find(data, off - off[0])
             own = place < tile
-            row, place, length, flag = row[own], place[own], length[own], flag[own]
+            row, place, pattern = row[own], place[own], pattern[own]
             begin = np.asarray(batch.column(len(KEYS)))
             rows = pa.array(row)
-            text = [bytes(data[a : a + n]).decode() for a, n in zip((off - off[0])[row] + place, length, strict=True)]
-            yield pa.RecordBatch.from_arrays([*(batch.column(i).take(rows) for i in range(len(KEYS))), pa.array(begin[row] + place, pa.int64()), pa.array(length, pa.int32()), pa.array((flag & 2) > 0), pa.array((flag & 4) > 0), pa.array(text, pa.string())], names=[*KEYS, "pos", "len", "is_forward", "is_canonical", "seq"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(i).take(rows) for i in range(len(KEYS))), pa.array(begin[row] + place, pa.int64()), pa.array(kernel.length[pattern].astype(np.int32)), pa.array(kernel.forward[pattern]), pa.array(kernel.canonical[pattern]), kernel.text.take(pa.array(pattern))], names=[*KEYS, "pos", "len", "is_forward", "is_canonical", "seq"])
 
     cut = tiles(contigs, longest, tile).select(*KEYS, "tile_start", "bases")
     fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in cut.schema if f.name in KEYS)

@@ -43,24 +43,31 @@ def flagged_by_scaffold(rows: DataFrame, most: int = 10) -> DataFrame:
 def outliers(values: DataFrame, column: str, keys: list[str] | None = None) -> DataFrame:
     """Adds ``outlier``: beyond 1.5 interquartile ranges, where there are four values or more that differ."""
     keys = keys or []
-    q = values.groupBy(*keys).agg(F.count(column).alias("_n"), F.percentile(column, F.array(F.lit(0.25), F.lit(0.75))).alias("_q"), (F.max(column) - F.min(column)).alias("_range"))
+    counted = values.where(F.col(column).isNotNull()).groupBy(*keys, F.col(column).alias("_v")).agg(F.count("*").alias("_k"))  # before values meet in one task
+    q = counted.groupBy(*keys).agg(F.sum("_k").alias("_n"), F.percentile("_v", F.array(F.lit(0.25), F.lit(0.75)), F.col("_k")).alias("_q"), (F.max("_v") - F.min("_v")).alias("_range"))
     low, high = F.col("_q")[0], F.col("_q")[1]
     iqr = high - low
-    joined = values.join(q, keys) if keys else values.join(q)
+    joined = values.join(q, keys, "left") if keys else values.join(q, how="left")
     out = (F.col("_n") >= 4) & (F.col("_range") > 0) & (iqr > 0) & ((F.col(column) < low - 1.5 * iqr) | (F.col(column) > high + 1.5 * iqr))
     return joined.withColumn("outlier", F.coalesce(out, F.lit(False))).drop("_n", "_q", "_range")
 
 
 def view_windows(blocks: DataFrame) -> DataFrame:
-    """``chrom, p_start, p_end, q_start, q_end``: twice the furthest extent of each arm, whole kb, 1 kb at least and at
-    most the chromosome; if one is no more than five times the other, both get the larger."""
-    size = F.col("path_size")
-    reach = blocks.groupBy("chrom").agg(F.max("path_size").alias("path_size"), F.max(F.when(F.col("label") == "p", F.col("end"))).alias("p"), F.max(F.when(F.col("label") == "q", F.col("path_size") - F.col("start"))).alias("q"))
-    kb = lambda c: F.greatest(F.lit(1000), F.ceil(2 * F.coalesce(c, F.lit(0)) / 1000) * 1000)
-    w = reach.withColumn("pw", kb(F.col("p"))).withColumn("qw", kb(F.col("q")))
-    close = F.greatest("pw", "qw") <= 5 * F.least("pw", "qw")
-    w = w.withColumn("pv", F.least(F.when(close, F.greatest("pw", "qw")).otherwise(F.col("pw")), size)).withColumn("qv", F.least(F.when(close, F.greatest("pw", "qw")).otherwise(F.col("qw")), size))
-    return w.select("chrom", F.lit(0).cast("long").alias("p_start"), F.col("pv").cast("long").alias("p_end"), (size - F.col("qv")).cast("long").alias("q_start"), size.cast("long").alias("q_end"))
+    """``chrom, p_start, p_end, q_start, q_end``: how much of each end to show.
+
+    An arm's limit is twice how far its blocks (b blocks are of both) reach from the end, 1 kb at least, whole kb, at most
+    the chromosome.  Limits of which one is at most five times the other become the larger; an arm without blocks takes
+    the other's.  Without a size or p, q and b blocks there is no view."""
+    size, label = F.col("path_size"), F.col("label")
+    far = lambda labels, reach: F.max(F.when(label.isin(*labels), F.greatest(reach, F.lit(0))))
+    r = blocks.groupBy("chrom").agg(F.max(size).alias("size"), far("pb", F.greatest("start", "end")).alias("p"), far("qb", F.greatest(size - F.col("end"), size - F.col("start"))).alias("q"))
+    z = F.col("size")
+    kb = lambda c: F.when(c.isNotNull() & (z > 0), F.when(z <= 1000, z).otherwise(F.least(z, F.ceil(F.least(z, F.greatest(2 * c, F.lit(1000))) / 1000) * 1000)))
+    w = r.withColumn("pw", kb(F.col("p"))).withColumn("qw", kb(F.col("q")))
+    more, less = F.greatest("pw", "qw"), F.least("pw", "qw")
+    shared = F.col("pw").isNull() | F.col("qw").isNull() | (more <= 5 * less)
+    w = w.withColumn("pv", F.when(shared, more).otherwise(F.col("pw"))).withColumn("qv", F.when(shared, more).otherwise(F.col("qw"))).where("pv is not null")
+    return w.select("chrom", F.lit(0).cast("long").alias("p_start"), F.col("pv").cast("long").alias("p_end"), F.greatest(z - F.col("qv"), F.lit(0)).cast("long").alias("q_start"), z.cast("long").alias("q_end"))
 
 
 def best_cluster(its: DataFrame, merge_gap: int = 50_000) -> DataFrame:

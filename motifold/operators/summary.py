@@ -20,7 +20,10 @@ def n50(lengths: DataFrame, column: str = "length", keys: list[str] | None = Non
 
 
 def length_stats(blocks: DataFrame, column: str = "length") -> DataFrame:
-    return blocks.agg(F.count("*").alias("n"), F.avg(column).alias("mean"), F.median(column).alias("median"), F.min(column).alias("min"), F.max(column).alias("max"))
+    """Lengths are counted before they meet in one task."""
+    counted = blocks.groupBy(F.col(column).alias("v")).agg(F.count("*").alias("k"))
+    n, v = F.sum("k"), F.col("v")
+    return counted.agg(F.coalesce(n, F.lit(0)).alias("n"), (F.sum(v * F.col("k")) / F.sum(F.when(v.isNotNull(), F.col("k")))).alias("mean"), F.percentile("v", F.lit(0.5), F.col("k")).alias("median"), F.min("v").alias("min"), F.max("v").alias("max"))
 
 
 def class_counts(summary: DataFrame) -> DataFrame:

@@ -6,19 +6,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import base_count, entropy, gc_percent, ratio
+from .matches import pieces
 
 KEYS = ["seq_pos", "header", "contig_no"]
 
 
 def windows(contigs: DataFrame, window: int, step: int) -> DataFrame:
     """``window_no, start, end`` (of the sequence), ``size`` and base counts; short windows at the end stay."""
-    n = F.floor((F.col("contig_len") - 1) / step).cast("int")
-    cut = contigs.where("contig_len > 0").withColumn("window_no", F.explode(F.sequence(F.lit(0), n)))
-    at = F.col("window_no").cast("long") * step
-    part = F.substr("bases", (at + 1).cast("int"), F.lit(window))
-    cut = cut.select(*KEYS, "path_size", "window_no", (F.col("contig_start") + at).alias("start"), part.alias("bases"))
+    cut = pieces(contigs.where("contig_len > 0"), [*KEYS, "path_size", "contig_start"], step, window)
     size = F.length("bases").cast("long")
-    return cut.select(*KEYS, "path_size", "window_no", "start", (F.col("start") + size).alias("end"), size.alias("size"), *(base_count(F.col("bases"), b).alias(f"n_{b.lower()}") for b in "ACGT"))
+    start = F.col("contig_start") + F.col("piece_start")
+    return cut.select(*KEYS, "path_size", F.col("piece").alias("window_no"), start.alias("start"), (start + size).alias("end"), size.alias("size"), *(base_count(F.col("bases"), b).alias(f"n_{b.lower()}") for b in "ACGT"))
 
 
 def covered_windows(contigs: DataFrame, found: DataFrame, window: int, step: int) -> DataFrame:

@@ -94,12 +94,6 @@ def base_composition(spark, sf):
     return sequences(spark, sf).select(F.col("seq_pos").alias("doc_id"), *(c.alias(f"n_{b}") for b, c in n.items()), F.round(X.gc_percent(n["c"], n["g"], size), 6).alias("gc"), X.entropy(list(n.values()), size).alias("entropy"))
 
 
-@query("hamming_to_canonical", chain("SELECT doc_id, hamming(left(seq, 6), 'CCCTAA')::INT AS d_forward, hamming(left(seq, 6), 'TTAGGG')::INT AS d_reverse FROM seqs WHERE length(seq) >= 6"))
-def hamming_to_canonical(spark, sf):
-    head = F.substring("seq", 1, 6)
-    return sequences(spark, sf).where("length(seq) >= 6").select(F.col("seq_pos").alias("doc_id"), X.hamming(head, F.lit("CCCTAA")).alias("d_forward"), X.hamming(head, F.lit("TTAGGG")).alias("d_reverse"))
-
-
 @query(
     "hamming_kmers",
     chain(
@@ -110,7 +104,7 @@ FROM (SELECT doc_id, substr(tile, o + 1, 6) AS k FROM tiles, unnest(range(least(
     ),
 )
 def hamming_kmers(spark, sf):
-    """Every 6-mer of every contig; ``hamming_to_canonical`` takes the first of each text only."""
+    """Every 6-mer of every contig, counted by document and distance to the nearer canonical repeat."""
     return matches.distance_counts(scan(spark, sf, EXACT).contigs, ["CCCTAA", "TTAGGG"]).select(F.col("seq_pos").alias("doc_id"), "distance", "n")
 
 
@@ -349,14 +343,15 @@ def select_prefix_theta(spark, sf):
     return select.select(kept, "p_brand", exclude_prefixes=("Brand#1",)).select("p_partkey", "p_name", "p_type")
 
 
-@query("unmatched_selectors", "SELECT DISTINCT c_custkey AS id FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_custkey IS NOT NULL)")
+@query("unmatched_selectors", "SELECT DISTINCT c_custkey AS id FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_custkey IS NOT NULL AND o_orderpriority LIKE '1%' AND o_orderstatus = 'P')")
 def unmatched_selectors(spark, sf):
-    return select.unmatched_ids(table(spark, sf, "customer").select(F.col("c_custkey").alias("id")), table(spark, sf, "orders"), "o_custkey")
+    orders = table(spark, sf, "orders").where("o_orderpriority like '1%' and o_orderstatus = 'P'")
+    return select.unmatched_ids(table(spark, sf, "customer").select(F.col("c_custkey").alias("id")), orders, "o_custkey")
 
 
-@query("unmatched_prefixes", "SELECT prefix FROM (SELECT DISTINCT 'doc' || (n_nationkey * 37 + 1) AS prefix FROM nation) WHERE NOT EXISTS (SELECT 1 FROM documents WHERE starts_with('doc' || doc_id, prefix))")
+@query("unmatched_prefixes", "SELECT prefix FROM (SELECT DISTINCT 'doc' || (n_nationkey * 3700 + 1) AS prefix FROM nation) WHERE NOT EXISTS (SELECT 1 FROM documents WHERE starts_with('doc' || doc_id, prefix))")
 def unmatched_prefixes(spark, sf):
-    prefixes = table(spark, sf, "nation").select(F.concat(F.lit("doc"), (F.col("n_nationkey") * 37 + 1).cast("string")).alias("prefix"))
+    prefixes = table(spark, sf, "nation").select(F.concat(F.lit("doc"), (F.col("n_nationkey") * 3700 + 1).cast("string")).alias("prefix"))
     names = table(spark, sf, "documents").select(F.concat(F.lit("doc"), F.col("doc_id").cast("string")).alias("header"))
     return select.unmatched_prefixes(prefixes, names)
 
@@ -503,10 +498,16 @@ def tukey_outliers(spark, sf):
     return report.outliers(table(spark, sf, "orders"), "o_totalprice", ["o_orderstatus"]).select("o_orderkey", "outlier")
 
 
-_VIEW = "view AS (SELECT 'doc' || doc_id AS chrom, max(path_size) AS z, max(e) FILTER (label = 'p') AS p, max(path_size - s) FILTER (label = 'q') AS q FROM blocks GROUP BY doc_id), kb AS (SELECT chrom, z, greatest(1000, ceil(2 * coalesce(p, 0) / 1000) * 1000)::BIGINT AS pw, greatest(1000, ceil(2 * coalesce(q, 0) / 1000) * 1000)::BIGINT AS qw FROM view)"
+_VIEW = """
+view AS (SELECT 'doc' || doc_id AS chrom, max(path_size) AS z, max(e) FILTER (label IN ('p', 'b')) AS p, max(path_size - s) FILTER (label IN ('q', 'b')) AS q FROM blocks GROUP BY doc_id),
+kb AS (SELECT chrom, z, CASE WHEN z <= 1000 THEN CASE WHEN p IS NOT NULL THEN z END ELSE least(z, (ceil(least(z, greatest(2 * p, 1000)) / 1000) * 1000)::BIGINT + CASE WHEN p IS NULL THEN NULL ELSE 0 END) END AS pl,
+              CASE WHEN z <= 1000 THEN CASE WHEN q IS NOT NULL THEN z END ELSE least(z, (ceil(least(z, greatest(2 * q, 1000)) / 1000) * 1000)::BIGINT + CASE WHEN q IS NULL THEN NULL ELSE 0 END) END AS ql FROM view),
+arms AS (SELECT chrom, z, CASE WHEN p IS NOT NULL THEN pl END AS pw, CASE WHEN q IS NOT NULL THEN ql END AS qw FROM kb JOIN view USING (chrom, z)),
+views AS (SELECT chrom, z, CASE WHEN pw IS NULL OR qw IS NULL OR greatest(pw, qw) <= 5 * least(pw, qw) THEN greatest(coalesce(pw, qw), coalesce(qw, pw)) ELSE pw END AS pv,
+                 CASE WHEN pw IS NULL OR qw IS NULL OR greatest(pw, qw) <= 5 * least(pw, qw) THEN greatest(coalesce(pw, qw), coalesce(qw, pw)) ELSE qw END AS qv FROM arms)"""
 
 
-@query("view_windows", chain("SELECT chrom, 0 AS p_start, least(CASE WHEN greatest(pw, qw) <= 5 * least(pw, qw) THEN greatest(pw, qw) ELSE pw END, z) AS p_end, z - least(CASE WHEN greatest(pw, qw) <= 5 * least(pw, qw) THEN greatest(pw, qw) ELSE qw END, z) AS q_start, z AS q_end FROM kb", *ALL, _VIEW))
+@query("view_windows", chain("SELECT chrom, 0 AS p_start, pv AS p_end, greatest(z - qv, 0) AS q_start, z AS q_end FROM views WHERE pv IS NOT NULL", *ALL, _VIEW))
 def view_windows(spark, sf):
     return report.view_windows(_calls(spark, sf))
 

@@ -6,11 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .fasta import FormatError
+from .files import numbered
 
 
 def gfa_lines(spark: SparkSession, path: str) -> DataFrame:
     """``line_no, kind, fields, line``, blank lines and comments left out."""
-    raw = spark.read.text(path).select(F.monotonically_increasing_id().alias("line_no"), F.regexp_replace("value", "\r$", "").alias("line"))
+    raw = numbered(spark.read.text(path), "line_no").select("line_no", F.regexp_replace("value", "\r$", "").alias("line"))
     fields = F.split("line", "\t", -1)
     return raw.where("line <> '' and not startswith(line, '#')").select("line_no", F.substring("line", 1, 1).alias("kind"), fields.alias("fields"), "line")
 
@@ -54,8 +55,13 @@ def checked(lines: DataFrame) -> DataFrame:
 
 
 def annotated(lines: DataFrame, cap_lines: DataFrame) -> DataFrame:
-    """``seq_pos, line``: the lines as they are, then those of caps, segments before links."""
-    old = lines.select(F.struct(F.lit(0).alias("rank"), F.col("line_no").alias("n"), F.lit("").alias("node")).alias("seq_pos"), "line")
+    """``seq_pos, line``: the lines as they are, then those of caps, segments before links.
+
+    What is written is GFA 1: a header of version 2 becomes 1.2, and segments lose the length before their bases."""
+    second = (F.col("kind") == "S") & F.get("fields", F.lit(2)).rlike("^[0-9]+$") & F.get("fields", F.lit(3)).isNotNull()
+    shorter = F.concat_ws("\t", F.slice("fields", 1, 2), F.slice("fields", 4, F.greatest(F.size("fields") - 3, F.lit(0))))
+    line = F.when(F.col("kind") == "H", F.regexp_replace("line", r"\tVN:Z:2[^\t]*", "\tVN:Z:1.2")).when(second, shorter).otherwise(F.col("line"))
+    old = lines.select(F.struct(F.lit(0).alias("rank"), F.col("line_no").alias("n"), F.lit("").alias("node")).alias("seq_pos"), line.alias("line"))
     new = cap_lines.select(F.struct(F.col("rank"), F.lit(0).cast("long").alias("n"), F.col("node")).alias("seq_pos"), "line")
     return old.unionByName(new)
 

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.columns import general
+from ..functions.columns import general, strict_unsigned
 from .files import unsigned
 
 
@@ -18,7 +21,7 @@ def _fields(spark: SparkSession, path: str) -> DataFrame:
 def selectors(spark: SparkSession, path: str) -> DataFrame:
     """``id``: one a line, or the names of BED lines, whose coordinates must be numbers in order."""
     f = _fields(spark, path)
-    a, b = unsigned(F.get("f", F.lit(1))), unsigned(F.get("f", F.lit(2)))
+    a, b = strict_unsigned(F.get("f", F.lit(1))), strict_unsigned(F.get("f", F.lit(2)))
     bad = f.where((F.size("f") == 2) | (F.size("f") >= 3) & ~F.coalesce(a <= b, F.lit(False))).select("line").head()
     if bad:
         raise ValueError(f"neither an id nor an interval: {bad[0]!r}")
@@ -102,8 +105,15 @@ def match_lines(found: DataFrame) -> DataFrame:
 
 def track_lines(windows: DataFrame, value: str) -> DataFrame:
     """Values in single precision with six digits."""
-    digits = F.udf(lambda x: general(x), "string")  # C's %g, which Java's differs from
-    return _lines(windows, ["seq_pos", "start"], "header", "start", "end", digits(F.col(value).cast("float")))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            text = [None if x is None else general(x) for x in batch.column(batch.num_columns - 1).to_pylist()]  # C's %g, which Java's differs from
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(text, pa.string())], names=[*batch.schema.names[:-1], "digits"])
+
+    w = windows.select("seq_pos", "header", "start", "end", F.col(value).cast("float").alias("value"))
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in w.schema if f.name != "value")
+    return _lines(w.mapInArrow(run, f"{fields}, digits string"), ["seq_pos", "start"], "header", "start", "end", "digits")
 
 
 def path_lines(summary: DataFrame) -> DataFrame:
