@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..config import ScanConfig
 from ..functions import columns as X
 from ..operators import blocks as B
-from ..operators import classify, graph, intervals, islands, matches, reads, report, select, summary, windows
+from ..operators import classify, graph, intervals, islands, matches, reads, report, select, summary, tracks, windows
 from ..operators import contigs as C
 from .derive import PARTS, PATHS, SEQUENCES, blocks, hits, sequences, table
 from .scan import Scan
@@ -536,6 +536,94 @@ def strand_bias(spark, sf):
     return w.select(F.col("seq_pos").alias("doc_id"), F.col("start").alias("s"), F.col("end").alias("e"), F.round(X.strand_bias(F.col("strand_ratio")), 6).alias("bias"))
 
 
+# what figures draw ---------------------------------------------------------------------------------------------------
+
+
+@query("terminal_projection", chain("SELECT 'doc' || doc_id AS chrom, label, s, CASE label WHEN 'p' THEN s ELSE greatest(path_size - e, 0) END AS near, CASE label WHEN 'p' THEN e ELSE greatest(path_size - s, 0) END AS far FROM blocks", *ALL))
+def terminal_projection(spark, sf):
+    c = _calls(spark, sf)
+    near, far = tracks.terminal_interval(F.col("label"), F.col("start"), F.col("end"), F.col("path_size"))
+    return c.select("chrom", "label", F.col("start").alias("s"), near.alias("near"), far.alias("far"))
+
+
+_POINTS = _windows_sql(1000, 1000, "CASE WHEN fc + rc > 0 THEN fc / (fc + rc) ELSE -1.0 END AS v")
+
+
+@query("track_points", f"SELECT doc_id, s AS x, round(greatest(v, 0), 6) AS y FROM ({_POINTS}) UNION ALL SELECT doc_id, max_by(e, s), round(max_by(v, s), 6) FROM ({_POINTS}) GROUP BY doc_id")
+def track_points(spark, sf):
+    w = scan(spark, sf, FULL).windows.select(F.col("seq_pos").alias("doc_id"), "start", "end", F.col("strand_ratio").alias("value"))
+    return tracks.step_points(w, ["doc_id"]).withColumn("y", F.round("y", 6))
+
+
+@query("track_validity", "SELECT event_id, value IS NOT NULL AND isfinite(value - 50) AND value - 50 >= 0 AS valid, CASE WHEN value >= 50 THEN round(log10(value - 50 + 1), 6) END AS scaled, round((value - 50) / 100.0, 6) AS fraction FROM events")
+def track_validity(spark, sf):
+    v = F.col("value") - 50
+    valid = tracks.valid_value(v)
+    return table(spark, sf, "events").select("event_id", valid.alias("valid"), F.when(valid, F.round(tracks.log_plus(v), 6)).alias("scaled"), F.round(tracks.gc_fraction(v), 6).alias("fraction"))
+
+
+@query("legend_labels", chain("SELECT DISTINCT 'doc' || doc_id AS chrom, label FROM blocks WHERE e > 100 AND s < 600", *ALL))
+def legend_labels(spark, sf):
+    return tracks.labels_in_view(_calls(spark, sf), F.lit(100), F.lit(600))
+
+
+@query("panel_merge", chain("SELECT chrom, pv IS NULL OR (pv >= greatest(z - qv, 0) AND has_p AND has_q) AS merged FROM (SELECT 'doc' || doc_id AS chrom, bool_or(label IN ('p', 'b')) AS has_p, bool_or(label IN ('q', 'b')) AS has_q FROM blocks GROUP BY doc_id) LEFT JOIN views USING (chrom)", *ALL, _VIEW))
+def panel_merge(spark, sf):
+    c = _calls(spark, sf)
+    return tracks.merged_panels(c, report.view_windows(c))
+
+
+@query("glyph_fits", chain("SELECT 'doc' || doc_id AS chrom, label, s, path_size > 0 AND length / path_size::DOUBLE >= CASE label WHEN 'b' THEN 0.030 ELSE 0.018 END AS fits FROM blocks", *ALL))
+def glyph_fits(spark, sf):
+    return _calls(spark, sf).select("chrom", "label", F.col("start").alias("s"), tracks.glyph_fits(F.col("label"), F.col("length"), F.col("path_size")).alias("fits"))
+
+
+@query(
+    "axis_ticks",
+    chain(
+        """SELECT chrom, i, round(z * i / 4.0, 6) AS at, rtrim(rtrim(printf('%.2f', greatest(z, 1) / 1000.0 * i / 4), '0'), '.') AS arm_text FROM (SELECT 'doc' || doc_id AS chrom, length(seq)::DOUBLE AS z FROM seqs), unnest(range(5)) AS t(i) WHERE z > 0"""
+    ),
+)
+def axis_ticks(spark, sf):
+    z = _sizes(spark, sf)
+    ticks = z.select("chrom", F.posexplode(tracks.axis_ticks(F.lit(0), F.col("size"), F.lit("p"))).alias("i", "t"))
+    return ticks.select("chrom", F.col("i").cast("long").alias("i"), F.round("t.at", 6).alias("at"), F.col("t.text").alias("arm_text"))
+
+
+@query("chroms_by_size", chain("SELECT 'doc' || doc_id AS chrom, length(seq) AS size FROM seqs WHERE length(seq) > 0"))
+def chroms_by_size(spark, sf):
+    return tracks.by_size(_sizes(spark, sf))
+
+
+@query("category_union", chain("SELECT DISTINCT 'doc' || doc_id AS chrom FROM paths WHERE type IN ('misassembly', 'gapped_misassembly', 'discordant', 'gapped_discordant')", *ALL, PATHS))
+def category_union(spark, sf):
+    return tracks.category_union(scan(spark, sf, EXACT).path_summary.select(F.col("header").alias("chrom"), "type"), report.FLAGGED)
+
+
+@query("all_blocks", chain("SELECT 'doc' || doc_id AS chrom, label, s, e, 'terminal' AS kind FROM blocks UNION ALL SELECT 'doc' || doc_id, 'b', s, e, 'interstitial' FROM gaps", *ALL))
+def all_blocks(spark, sf):
+    inner = scan(spark, sf, EXACT).gaps.select(F.col("header").alias("chrom"), F.lit("b").alias("label"), "start", "end")
+    return tracks.all_blocks(_calls(spark, sf), inner).withColumnsRenamed({"start": "s", "end": "e"})
+
+
+@query("bp_texts", "SELECT o_orderkey, CASE WHEN n >= 1000000 THEN printf('%.2f Mb', n / 1e6) WHEN n >= 1000 THEN printf('%.1f kb', n / 1e3) ELSE n || ' bp' END AS text FROM (SELECT o_orderkey, floor(o_totalprice)::BIGINT * 8 AS n FROM orders)")
+def bp_texts(spark, sf):
+    return table(spark, sf, "orders").select("o_orderkey", tracks.bp_short(F.floor("o_totalprice") * 8).alias("text"))
+
+
+@query(
+    "variant_rate",
+    chain(
+        "SELECT count(*) AS measured, count(*) FILTER (b.s < t.e + 200 AND t.e < b.e) AS included, round(count(*) FILTER (b.s < t.e + 200 AND t.e < b.e) / count(*), 6) AS rate FROM truth t JOIN blocks b ON chrom = 'doc' || doc_id AND label = arm AND t.s < b.e AND b.s < t.e WHERE t.s < t.e",
+        *ALL,
+        _TRUTH,
+    ),
+)
+def variant_rate(spark, sf):
+    t = _truth(spark, sf).withColumns({"variant_start": F.col("end"), "variant_end": F.col("end") + 200})
+    return tracks.variant_rate(t, _calls(spark, sf)).withColumn("rate", F.round("rate", 6))
+
+
 @query("multiset_diff", "SELECT n_regionkey AS k, 'left' AS side FROM (SELECT n_regionkey FROM nation EXCEPT ALL SELECT r_regionkey FROM region) UNION ALL SELECT r_regionkey, 'right' FROM (SELECT r_regionkey FROM region EXCEPT ALL SELECT n_regionkey FROM nation)")
 def multiset_diff(spark, sf):
     return report.multiset_difference(table(spark, sf, "nation").select(F.col("n_regionkey").alias("k")), table(spark, sf, "region").select(F.col("r_regionkey").alias("k")))
@@ -561,7 +649,29 @@ def queries() -> dict[str, Query]:
     return QUERIES | files.QUERIES
 
 
-def oracle_sql() -> dict[str, str]:
-    from . import files
+_PASSING = "doc_id IN (SELECT doc_id FROM blocks)"
+_CAPS = "SELECT 'doc' || doc_id AS seg, role, max(length) AS length FROM (SELECT *, CASE WHEN s <= n - e THEN 'start' ELSE 'end' END AS role FROM blocks) GROUP BY doc_id, role"
+#: SQL for queries through files and streams, which give back what went in, or what the same rows give without them.
+ROUND_TRIPS = {
+    "fasta_round_trip": chain("SELECT header, length(seq) AS length, md5(seq) AS digest FROM seqs"),
+    "fastq_round_trip": chain(f"SELECT header, md5(seq) AS digest FROM seqs WHERE {_PASSING}", _READ_CONTIGS, *_READS),
+    "bam_round_trip": chain(f"SELECT md5(seq) AS digest, count(*) AS n, sum(36 + length(header) + 1 + (length(seq) + 1) // 2 + length(seq))::BIGINT AS bytes FROM seqs WHERE {_PASSING} GROUP BY 1", _READ_CONTIGS, *_READS),
+    "gfa_round_trip": chain(
+        f"""SELECT 'S' AS kind, 'S\ttelomere_' || seg || '+_' || role || '\t*\tLN:i:6\tRC:i:6000\tTL:i:' || length AS line FROM ({_CAPS})
+UNION ALL SELECT 'L', 'L\ttelomere_' || seg || '+_' || role || '\t+\t' || seg || '\t' || CASE role WHEN 'start' THEN '+' ELSE '-' END || '\t0M\tRC:i:0' FROM ({_CAPS})""",
+        _SEGMENTS,
+        *_SEGMENT_BLOCKS,
+    ),
+    "bed_round_trip": chain(
+        """SELECT 'doc' || doc_id AS chrom, s AS start, e AS "end", length, label, CASE WHEN f THEN c ELSE 0 END AS forward_count, CASE WHEN f THEN 0 ELSE c END AS reverse_count,
+c AS canonical_count, 0 AS noncanonical_count, path_size, 'scaffold' AS terminality FROM blocks WHERE terminal""",
+        *(x.replace("e - s AS length, c,", "e - s AS length, c, f,") for x in ALL),
+    ),
+    "stream_read_filter": chain(f"SELECT doc_id AS idx, length(seq) AS length FROM seqs WHERE {_PASSING}", _READ_CONTIGS, *_READS),
+    "stream_sessions": """SELECT user_id, min(t) AS first, max(t) + 3600000000 AS until, count(*) AS n FROM (SELECT *, sum(b::INT) OVER (PARTITION BY user_id ORDER BY t, event_id) AS g
+FROM (SELECT user_id, event_id, t, coalesce(t - lag(t) OVER (PARTITION BY user_id ORDER BY t, event_id) > 3600000000, TRUE) AS b FROM (SELECT user_id, event_id, epoch_us(ts) AS t FROM events))) GROUP BY user_id, g""",
+}
 
-    return SQL | {k: chain(v) for k, v in files.ROUND_TRIPS.items()}
+
+def oracle_sql() -> dict[str, str]:
+    return SQL | ROUND_TRIPS
