@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -9,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.columns import general, strict_unsigned
-from .files import unsigned
+from .files import expand, unsigned
 
 
 def _fields(spark: SparkSession, path: str) -> DataFrame:
@@ -78,6 +79,32 @@ def report(spark: SparkSession, path: str) -> DataFrame:
     return out.withColumn("type", F.coalesce(known[F.col("type")], F.col("type"))).withColumn("pos", F.col("pos").cast("long"))
 
 
+# How the names of a scan's files end.
+OUTPUTS = {
+    "terminal": "_terminal_telomeres.bed",
+    "interstitial": "_interstitial_telomeres.bed",
+    "gaps": "_gaps.bed",
+    "density": "_window_repeat_density.bedgraph",
+    "canonical_ratio": "_window_canonical_ratio.bedgraph",
+    "strand_ratio": "_window_strand_ratio.bedgraph",
+    "gc": "_window_gc.bedgraph",
+    "entropy": "_window_entropy.bedgraph",
+    "report": "_report.tsv",
+}
+
+
+def discovered(folder: str) -> dict[str, str]:
+    """Which of a scan's files a folder has; of several the first by name, with a warning."""
+    names, found = expand(folder), {}
+    for key, suffix in OUTPUTS.items():
+        hits = [x for x in names if x.endswith(suffix)]
+        if len(hits) > 1:
+            warnings.warn(f"several files end in {suffix}: {hits[0]} is read", stacklevel=2)
+        if hits:
+            found[key] = hits[0]
+    return found
+
+
 # what a scan writes: ``seq_pos, line`` ------------------------------------------------------------------------------
 
 
@@ -121,6 +148,7 @@ def path_lines(summary: DataFrame) -> DataFrame:
     return _lines(summary, ["seq_pos"], F.col("seq_pos") + 1, *names)
 
 
+# Sections and labels of the summary.
 def summary_text(row: dict, filtered: tuple[int, int] | None = None) -> str:
     """The assembly summary as text."""
     full = "its" in row
