@@ -57,6 +57,15 @@ def unpack(x: pa.Scalar, kind) -> np.ndarray:
     return np.frombuffer(pa.decompress(raw[8:], size, codec="zstd"), kind) if size else np.zeros(0, kind)
 
 
+def pack_planes(x: np.ndarray) -> bytes:
+    """Small numbers: all lowest bytes, then all second ones and so on, which says most in the first."""
+    return pack(np.ascontiguousarray(x, "<u4").view(np.uint8).reshape(-1, 4).T)
+
+
+def unpack_planes(x: pa.Scalar) -> np.ndarray:
+    return np.ascontiguousarray(unpack(x, np.uint8).reshape(4, -1).T).view("<u4").ravel()
+
+
 def pack_bits(x: np.ndarray, bits: int) -> bytes:
     """The lowest bytes of 64-bit numbers."""
     return pack(np.ascontiguousarray(x, "<u8").view(np.uint8).reshape(-1, 8)[:, : bits // 8])
@@ -199,10 +208,11 @@ def _freed(f):
     return run
 
 
-#: A block: its texts' ids, folds and sizes in tokens; its texts' words by place in its dictionary; what levels answered.
-BLOCK = dict(block=LONG, ids=BINARY, held=BINARY, sizes=BINARY, tokens=BINARY, words=BINARY, counts=BINARY, pairs=BINARY)
-#: A question: contexts, how many successors of each are asked for, these, their counts, and counts of hot contexts.
-ASKED = dict(shard=INT, block=LONG, contexts=BINARY, sizes=BINARY, successors=BINARY, counts=BINARY, totals=BINARY)
+#: A block: its tokens' number; its texts' ids, folds and sizes in tokens; its texts' words by place in its dictionary; what levels answered.
+BLOCK = dict(block=LONG, n=LONG, ids=BINARY, held=BINARY, sizes=BINARY, tokens=BINARY, words=BINARY, counts=BINARY, pairs=BINARY)
+#: A question: contexts, how many successors of each are asked for, the different ones and which each is, their counts,
+#: and counts of hot contexts.
+ASKED = dict(shard=INT, block=LONG, contexts=BINARY, sizes=BINARY, successors=BINARY, which=BINARY, counts=BINARY, totals=BINARY)
 #: What a shard found for a block; or, of block -1, its tokens and different words.
 ANSWER = dict(shard=INT, block=LONG, found=BINARY, n=LONG, v=LONG)
 
@@ -221,10 +231,14 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def block():
         texts = pa.Table.from_batches(held).combine_chunks()
         h, at = words(texts.column(1))
-        own, tokens = np.unique(np.insert(h, at[1:], END), return_inverse=True)
+        own, tokens, counts = np.unique(np.insert(h, at[1:], END), return_inverse=True, return_counts=True)
+        order = np.argsort(-counts, kind="stable")  # the commonest first: small numbers
+        rank = np.empty(len(own), np.uint32)
+        rank[order] = np.arange(len(own))
+        own, tokens = own[order], rank[tokens]
         ids = texts.column(0)
         folds = np.asarray(texts.column(2)).astype(np.uint8) + 2 * np.asarray(ids.is_null()).astype(np.uint8)
-        return _rows([(part + number, pack(np.asarray(ids.fill_null(0))), pack(folds), pack((np.diff(at) + 1).astype(np.uint32)), pack(tokens.astype(np.uint32)), pack(own), None, None)], BLOCK).to_batches()
+        return _rows([(part + number, len(tokens), pack(np.asarray(ids.fill_null(0))), pack(folds), pack((np.diff(at) + 1).astype(np.uint32)), pack_planes(tokens), pack(own), None, None)], BLOCK).to_batches()
 
     for batch in batches:
         for lo in range(0, batch.num_rows, 500):
@@ -243,7 +257,7 @@ class Block:
     def __init__(self, row: dict):
         self.number, self.ids, folds = row["block"].as_py(), unpack(row["ids"], np.int64), unpack(row["held"], np.uint8)
         self.held, self.null = (folds & 1).astype(bool), (folds & 2).astype(bool)
-        self.sizes, self.tokens, self.words = unpack(row["sizes"], np.uint32).astype(np.int64), unpack(row["tokens"], np.uint32).astype(np.int64), unpack(row["words"], U)
+        self.sizes, self.tokens, self.words = unpack(row["sizes"], np.uint32).astype(np.int64), unpack_planes(row["tokens"]).astype(np.int64), unpack(row["words"], U)
         self.counts = unpack(row["counts"], np.int64) if row["counts"].is_valid else None
         self.train = np.repeat(~self.held, self.sizes)
         self.first = np.cumsum(self.sizes) - self.sizes
@@ -257,7 +271,7 @@ class Block:
         key, self.pair = np.unique(before * (n + 1) + self.tokens, return_inverse=True)
         self.v, self.w = key // (n + 1), key % (n + 1)
         # as many starts as ends
-        self.of_context = np.append(self.counts, self.counts[np.searchsorted(self.words, END)])[self.v]
+        self.of_context = np.append(self.counts, self.counts[self.words == END])[self.v]
         self.hashes = np.append(self.words, START)
 
     def triples(self, pairs: np.ndarray) -> None:
@@ -298,7 +312,8 @@ class Block:
         for shard, at, context in self.ask(shards, pairs):
             new = np.flatnonzero(np.append(True, context[1:] != context[:-1]))
             total = often[at[new]]
-            out.append((shard, self.number, pack_bits(self.prints[context[new]], CONTEXT), pack(np.diff(np.append(new, len(at))).astype(np.uint32)), pack_bits(prints[word[at]], PRINT), pack(counts[at].astype(np.uint32)), pack(np.where(total > HOT, total, 0))))
+            few, which_ = np.unique(word[at], return_inverse=True)
+            out.append((shard, self.number, pack_bits(self.prints[context[new]], CONTEXT), pack_planes(np.diff(np.append(new, len(at)))), pack_bits(prints[few], PRINT), pack_planes(which_), pack_planes(counts[at]), pack(np.where(total > HOT, total, 0))))
         return out
 
     def answered(self, shards: int, answers: dict[int, np.ndarray], pairs: np.ndarray | None = None) -> np.ndarray:
@@ -324,7 +339,7 @@ def _ask_words(shards: int):
             order = np.argsort(shard, kind="stable")
             counts = np.bincount(b.tokens[b.train], minlength=len(b.words))
             parts = np.split(order, np.flatnonzero(np.diff(shard[order])) + 1)
-            yield from _rows([(int(shard[p[0]]), b.number, None, None, pack(b.words[p]), pack(counts[p].astype(np.uint32)), None) for p in parts], ASKED).to_batches()
+            yield from _rows([(int(shard[p[0]]), b.number, None, None, pack(b.words[p]), None, pack_planes(counts[p]), None) for p in parts], ASKED).to_batches()
 
     return run
 
@@ -332,7 +347,7 @@ def _ask_words(shards: int):
 @lean
 def _answer_words(key: tuple[pa.Scalar, ...], parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The first level: words and how often each occurs; and of block -1, how many tokens and different words there are."""
-    rows = [(r["block"].as_py(), unpack(r["successors"], U), unpack(r["counts"], np.uint32)) for r in _each(parts)]
+    rows = [(r["block"].as_py(), unpack(r["successors"], U), unpack_planes(r["counts"])) for r in _each(parts)]
     u, back = np.unique(np.concatenate([x for _, x, _ in rows]), return_inverse=True)
     n = np.bincount(back, np.concatenate([x for *_, x in rows]), len(u)).astype(np.int64)
     with tempfile.TemporaryFile() as file:
@@ -353,7 +368,7 @@ def _answer_words(key: tuple[pa.Scalar, ...], parts: Iterator[pa.RecordBatch]) -
 @lean
 def _answer(key: tuple[pa.Scalar, ...], parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A shard's part of a level, built of all questions; what each finds in it."""
-    rows = [(r["block"].as_py(), unpack_bits(r["contexts"], CONTEXT), unpack(r["sizes"], np.uint32), unpack_bits(r["successors"], PRINT), unpack(r["counts"], np.uint32), unpack(r["totals"], np.int64)) for r in _each(parts)]
+    rows = [(r["block"].as_py(), unpack_bits(r["contexts"], CONTEXT), unpack_planes(r["sizes"]), unpack_bits(r["successors"], PRINT)[unpack_planes(r["which"])], unpack_planes(r["counts"]), unpack(r["totals"], np.int64)) for r in _each(parts)]
     v, k, w, n, total = (np.concatenate([r[i] for r in rows]) for i in range(1, 6))
     trie = Trie(np.repeat(v, k), w, n, np.repeat(total, k))
     found = trie.find(v, k, w)
@@ -435,16 +450,19 @@ def language_scores(documents: DataFrame) -> DataFrame:
     spark = documents.sparkSession
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text", held_out().alias("held"))
     blocks, blocks_at = stored(docs.mapInArrow(_cut, schema(**BLOCK)), "blocks")
-    size = blocks.agg(F.sum(F.length("tokens"))).first()[0] or 0
-    shards = max(12, -(-int(size) // SHARD))  # a token packs to a byte or two, and is one n-gram at most
+    shards = max(12, -(-int(blocks.agg(F.sum("n")).first()[0] or 0) // SHARD))  # a token ends one n-gram of each level
+
+    def answers_of(level: int) -> tuple[DataFrame, str]:
+        asked = blocks.mapInArrow(_ask_words(shards) if level == 1 else _ask(level, shards), schema(**ASKED))
+        return stored(asked.groupBy("shard").applyInArrow(_answer_words if level == 1 else _answer, schema(**ANSWER)), "answers")
+
     for level in (1, 2):
-        asked = blocks.mapInArrow(_ask_words(shards) if level == 1 else _ask(2, shards), schema(**ASKED))
-        answers, answers_at = stored(asked.groupBy("shard").applyInArrow(_answer_words if level == 1 else _answer, schema(**ANSWER)), "answers")
+        answers, answers_at = answers_of(level)
         if level == 1:
             n, v = (int(x or 0) for x in answers.agg(F.sum("n"), F.sum("v")).first())
         learned, learned_at = stored(blocks.groupBy("block").cogroup(answers.where("block >= 0").groupBy("block")).applyInArrow(_learned(level, shards), schema(**BLOCK)), "blocks")
         discard(spark, blocks_at, answers_at)
         blocks, blocks_at = learned, learned_at
-    answers = blocks.mapInArrow(_ask(3, shards), schema(**ASKED)).groupBy("shard").applyInArrow(_answer, schema(**ANSWER))
+    answers, _ = answers_of(3)
     fields = schema(doc_id=LONG, held_out=T.BooleanType(), n_tokens=LONG, n_known=LONG, train_tokens=LONG, base_score=DOUBLE, score=DOUBLE)
     return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_scores(n, n + 0.5 * (v + 1), shards), fields)

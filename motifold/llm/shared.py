@@ -16,6 +16,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+#: Whether the end of a query deletes its shuffle files.
+FREED = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that ``spark.checkpoint.dir`` names; one of our own only where it is unset."""
     found = spark.conf.get("spark.checkpoint.dir", None)
@@ -26,10 +30,16 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def stored(df: DataFrame, name: str) -> tuple[DataFrame, str]:
-    """Write ``df`` to the shared folder and read it again: lineage ends there, and a lost executor loses nothing."""
+    """Write ``df`` to the shared folder and read it again: lineage ends there, and a lost executor loses nothing.
+
+    What the query shuffled goes once it is written, so a long run doesn't pile up the files of all its steps."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/motifold/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    path, before = f"{shared_dir(spark)}/motifold/{name}-{uuid.uuid4().hex}", spark.conf.get(FREED, "false")
+    spark.conf.set(FREED, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(FREED, before)
     return spark.read.schema(df.schema).parquet(path), path
 
 
