@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..config import ScanConfig
 from ..functions import columns as X
+from ..functions import tables as table_functions
 from ..operators import blocks as B
 from ..operators import classify, graph, intervals, islands, matches, reads, report, select, summary, tracks, windows
 from ..operators import contigs as C
@@ -78,6 +79,14 @@ def motif_hits_edit1(spark, sf):
     return found.groupBy(F.col("seq_pos").alias("doc_id")).agg(F.count("*").alias("n"), one("is_forward").alias("n_forward"), one("is_canonical").alias("n_canonical"), F.sum("abs_pos").alias("sum_pos"))
 
 
+@query("scan_motifs_udtf", chain("SELECT doc_id, contig_start + pos AS pos, f AS is_forward FROM hits", PARTS, hits(ALL_HITS)))
+def scan_motifs_udtf(spark, sf):
+    """The table function over whole sequences: gaps hold no match, so places are those of their contigs' matches."""
+    table_functions.register(spark, EXACT, "scan_exact_motifs")
+    sequences(spark, sf).createOrReplaceTempView("motifold_sequences")
+    return spark.sql("SELECT seq_pos AS doc_id, m.pos, m.is_forward FROM motifold_sequences, LATERAL scan_exact_motifs(seq) AS m")
+
+
 @query("revcomp_project", chain("SELECT doc_id, md5(translate(reverse(seq), 'ACGT', 'TGCA')) AS digest FROM seqs"))
 def revcomp_project(spark, sf):
     return sequences(spark, sf).select(F.col("seq_pos").alias("doc_id"), F.md5(X.reverse_complement(F.col("seq")).cast("binary")).alias("digest"))

@@ -12,15 +12,20 @@ from ..config import ScanConfig
 from ..operators import reads
 
 
-def filter_stream(stream: DataFrame, config: ScanConfig, sink: Callable[[DataFrame, int], None], checkpoint: str, key: str = "idx", once: bool = True) -> StreamingQuery:
+def filter_stream(stream: DataFrame, config: ScanConfig, sink: Callable[[DataFrame, int], None], checkpoint: str, key: str = "idx", once: bool = True, seq: str = "seq") -> StreamingQuery:
     """Start a query that hands the passing reads of each micro-batch to ``sink``; what it wrote before stays written.
 
-    ``key`` must be unique within a micro-batch.  The filter holds no state, so late or repeated input needs none."""
+    ``key`` must be unique within a micro-batch.  The filter holds no state, so late or repeated input needs none.  Each
+    batch's progress has, under ``reads``, how many reads it had and how many of them were without a sequence."""
 
     def each(batch: DataFrame, number: int) -> None:
-        sink(reads.passing(batch, config, key), number)
+        held = batch.persist()  # read once, counted once
+        sink(reads.passing(held, config, key, seq), number)
+        held.unpersist()
 
-    writer = stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint)
+    lacks = F.col(seq).isNull() | F.col(seq).isin("", "*")
+    counted = stream.observe("reads", F.count(F.lit(1)).alias("total"), F.count_if(lacks).alias("missing"))
+    writer = counted.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer).start()
 
 

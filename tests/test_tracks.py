@@ -164,3 +164,24 @@ def test_command_line(spark, tmp_path, capsys, monkeypatch):
     assert (tmp_path / "simulated.fa").read_text().count(">") == 2 and (tmp_path / "simulated_truth.tsv").read_text().count("\n") == 5
     c = cli.config(cli.options(["fastq", "x", "-l", "300"]))
     assert c.for_reads().min_block_length == 300 and ScanConfig().for_reads().min_block_length == 42
+
+
+def test_stream_counts(spark, tmp_path):
+    from motifold.streaming.reads import filter_stream
+
+    rows = [(0, "CCCTAA" * 20), (1, "ACGT" * 20), (2, None), (3, "*")]
+    spark.createDataFrame(rows, "idx long, seq string").coalesce(1).write.parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema("idx long, seq string").parquet(f"{tmp_path}/in")
+    q = filter_stream(stream, ScanConfig(edit_distance=0), lambda df, n: df.write.mode("append").parquet(f"{tmp_path}/out"), f"{tmp_path}/checkpoint")
+    q.awaitTermination()
+    assert [r["idx"] for r in spark.read.parquet(f"{tmp_path}/out").collect()] == [0]
+    seen = [p.observedMetrics["reads"] for p in q.recentProgress if "reads" in p.observedMetrics]
+    assert sum(x["total"] for x in seen) == 4 and sum(x["missing"] for x in seen) == 2
+
+
+def test_table_function(spark):
+    from motifold.functions.tables import register
+
+    register(spark, ScanConfig(edit_distance=0))
+    got = spark.sql("SELECT id, m.* FROM VALUES (1, 'ccctaaNTTAGGGA'), (2, NULL), (3, '') AS t(id, seq), LATERAL scan_motifs(seq) AS m").collect()
+    assert [tuple(r) for r in got] == [(1, 0, 6, True, True, "CCCTAA"), (1, 7, 6, False, True, "TTAGGG")]
