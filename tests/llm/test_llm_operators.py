@@ -829,3 +829,21 @@ def test_quality(spark):
     assert kept.columns == docs.columns and kept.count() == sum(r["predicted"] for r in got)
     nothing = fit(docs, labels.limit(0))
     assert scored(empty(spark), nothing).count() == 0 and scored(docs, nothing).count() == len(rows)
+
+
+def test_very_long_texts(spark):
+    """A text of a million words beside short ones, in the operators that cut texts into blocks, tiles or pieces."""
+    from motifold.llm import ngram_lm, quality, secrets
+    from motifold.llm.chat_format import digests
+
+    rng = random.Random(1)
+    long = " ".join(rng.choice(["plain", "words", "of", "a", "text,"]) for _ in range(1_000_000)) + " password=hunter22"
+    frame = spark.createDataFrame([(2, long), (3, "short words"), (5, None)], "doc_id long, text string")
+    scores = {r["doc_id"]: r for r in ngram_lm.language_scores(frame).collect()}
+    assert scores[2]["n_tokens"] == 1_000_002 and scores[5]["n_tokens"] == 1 and all(math.isfinite(r["score"]) and r["score"] < 0 for r in scores.values())
+    spans = {r["doc_id"]: r["spans"] for r in secrets.secret_spans(frame).collect()}
+    assert spans == {2: f"assign:{len(long) - 17}:{len(long)}", 3: "", 5: ""}
+    model = quality.fit(frame, spark.createDataFrame([(2, 1), (3, 0)], "doc_id long, quality int"))
+    assert all(0 <= r["score"] <= 1 for r in quality.scored(frame, model).collect())
+    chats = spark.createDataFrame([(1, 0, "user", "hi"), (1, 1, "assistant", long)], "conv_id long, turn long, role string, text string")
+    assert digests(chats).first()["loss_chars"] == len(long)

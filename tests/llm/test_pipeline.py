@@ -71,3 +71,15 @@ def test_run(spark, corpus):
     first = Counter(map(tuple, p.run(spark, corpus).collect()))
     assert first and first == Counter(map(tuple, p.run(spark, corpus).collect()))
     assert len(p.STAGES) == 5
+
+
+def test_stages_of_nothing(spark, corpus):
+    """No documents, or none with a text, in every stage."""
+    import corpus_pipeline as p
+
+    docs = spark.read.parquet(f"{corpus}/documents.parquet")
+    blank = spark.createDataFrame([(1, None, None, None, None), (None, "", "en", "s", 0), (1, " \n", "en", None, 2)], docs.schema)
+    for name, stage in p.STAGES:
+        assert stage(spark, docs.limit(0), corpus).count() == 0, name
+        rows = stage(spark, blank, corpus).collect()
+        assert len(rows) <= 3 and (name != "secret scans" or Counter(map(tuple, rows)) == Counter(map(tuple, blank.withColumn("n_chars", F.length("text").cast("long")).collect()))), name
