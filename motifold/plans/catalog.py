@@ -11,7 +11,7 @@ from ..config import ScanConfig
 from ..functions import columns as X
 from ..functions import tables as table_functions
 from ..operators import blocks as B
-from ..operators import classify, graph, intervals, islands, matches, reads, report, select, summary, tracks, windows
+from ..operators import classify, graph, intervals, islands, matches, reads, report, select, summary, tracks
 from ..operators import contigs as C
 from .derive import PARTS, PATHS, SEQUENCES, blocks, hits, sequences, table
 from .scan import Scan
