@@ -22,7 +22,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
@@ -178,13 +178,13 @@ def _first_columns(common: np.ndarray, percent: int):
     return run
 
 
-def _kept_counts(listed: np.ndarray):
+def _kept_counts(first_columns, listed: np.ndarray):
     """How many rows of a batch keep each of the listed columns (in order of hash)."""
 
     @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            h, n = np.unique(np.concatenate([np.frombuffer(x.as_buffer(), U) for x in batch.column(0)]), return_counts=True)
+        for batch in first_columns(batches):
+            h, n = np.unique(np.concatenate([np.frombuffer(x.as_buffer(), U) for x in batch.column(2)]), return_counts=True)
             hit = listed[np.minimum(np.searchsorted(listed, h), len(listed) - 1)] == h
             yield pa.RecordBatch.from_pydict({"h": pa.array(h[hit].view(np.int64)), "n": pa.array(n[hit])})
 
@@ -300,14 +300,15 @@ def _product(percent: int):
     return run
 
 
-def _commonest(counted: DataFrame) -> np.ndarray:
-    """The commonest shingles, most of all first: those above the least count that COMMON or fewer exceed."""
+def _commonest(counted: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """The commonest shingles and their counts, most of all first: those above the least count that COMMON or fewer exceed."""
     sizes = sorted(counted.groupBy(F.least(F.col("n"), F.lit(10_000)).alias("n")).count().collect(), reverse=True)
     total = np.cumsum([x[1] for x in sizes])
     least = next((n for (n, _), t in zip(sizes, total, strict=True) if t > COMMON), 0)
     found = counted.where(F.col("n") > least).select("common", "n").toArrow()
     h, n = np.asarray(found.column(0)).view(U), np.asarray(found.column(1))
-    return h[np.lexsort((h, -n))][:COMMON]
+    order = np.lexsort((h, -n))[:COMMON]
+    return h[order], n[order]
 
 
 def jaccard_components(documents: DataFrame, percent: int = 75) -> DataFrame:
@@ -356,12 +357,15 @@ def jaccard_components(documents: DataFrame, percent: int = 75) -> DataFrame:
 
     # product
     entries = classes.agg(F.sum(kept_columns_sql(percent))).first()[0] or 0
-    common = _commonest(profile.where("common is not null").groupBy("common").agg(F.sum("n").alias("n")))
-    firsts, firsts_at = stored(docs.mapInArrow(_first_columns(common, percent), schema(doc_id=LONG, sig=BINARY, columns=BINARY)), "columns")
-    found = firsts.select("columns").mapInArrow(_kept_counts(np.sort(common)), "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") > CHUNK).toArrow() if len(common) else None  # at most COMMON
-    long, cut = (np.asarray(found.column(0)).view(U), -(-np.asarray(found.column(1)) // CHUNK)) if found else (np.zeros(0, U), np.zeros(0, np.int64))
-    order = np.argsort(long)
-    long, cut = long[order], cut[order]
+    common, counts = _commonest(profile.where("common is not null").groupBy("common").agg(F.sum("n").alias("n")))
+    first_columns = _first_columns(common, percent)
+    firsts = docs.mapInArrow(first_columns, schema(doc_id=LONG, sig=BINARY, columns=BINARY))
+    long, cut = np.zeros(0, U), np.zeros(0, np.int64)
+    frequent = np.sort(common[counts > CHUNK])
+    if len(frequent):  # columns that so many rows have; how many keep them takes another look
+        kept = docs.mapInArrow(_kept_counts(first_columns, frequent), "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") > CHUNK).toArrow()  # at most COMMON
+        order = np.argsort(np.asarray(kept.column(0)).view(U))
+        long, cut = np.asarray(kept.column(0)).view(U)[order], -(-np.asarray(kept.column(1))[order] // CHUNK)
     reps = classes.join(labels.select(F.col("node").alias("rep"), "component"), "rep", "left").join(of_group, "rep", "left")
     reps = reps.select(F.col("rep").alias("doc_id"), "sig", F.col("n").alias("size"), F.coalesce("component", "rep").alias("comp"), F.coalesce("g", "rep").alias("g"))
     blocks = max(BLOCKS, -(-int(entries) // ENTRIES))
@@ -375,7 +379,7 @@ def jaccard_components(documents: DataFrame, percent: int = 75) -> DataFrame:
     one_id = rows.join(of_class, "sig").groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).where("doc_id is not null and a < b").select("a", "b")
     links = more_links.union(_linked(docs, open_pairs, percent)).union(one_id)
     labels2, _ = components(links)
-    discard(spark, near_at, open_at, labels_at, more_links_at, firsts_at)
+    discard(spark, near_at, open_at, labels_at, more_links_at)
     of_class = of_class.join(labels2.withColumnRenamed("node", "rep"), "rep", "left").select("sig", F.coalesce("component", "rep").alias("component"))
     out = rows.join(of_class, "sig", "left")
     own = F.coalesce("component", "doc_id")
