@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import BINARY, INT, LONG, discard, schema, stored
+from .shared import BINARY, LONG, discard, schema, stored
 
 PROBES = 2
 #: Vectors of a tile, about; unrelated vectors that a bucket may hold, about.

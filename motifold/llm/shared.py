@@ -91,14 +91,16 @@ def bitmap(ids: DataFrame, col: str) -> bytes:
     return bytes(out)
 
 
-#: A key with more than one in HUBS of all rows, and more than FEW, is hot.
-HUBS, FEW = 1000, 256
+#: A key with more than one in HUBS of all rows, and more than FEW, is hot: fewer a task can hold whatever they are.
+HUBS, FEW = 1000, 100_000
 
 
 def looked_up(rows: DataFrame, table: DataFrame, on: list[str], total: int, often: str = "n") -> DataFrame:
     """``rows`` joined with ``table``, which has a row for each key and in ``often`` how many of the ``total`` rows have it.
 
     Rows are shuffled by key but for those of hot keys, of which there are HUBS at most: these come to the rows."""
+    if total <= FEW:  # there is none
+        return rows.join(table.drop(often), on)
     few = table.where(F.col(often) > max(FEW, total // HUBS)).drop(often).collect()
     table = table.drop(often)
     if not few:
