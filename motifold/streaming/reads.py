@@ -12,16 +12,18 @@ from ..config import ScanConfig
 from ..operators import reads
 
 
-def filter_stream(stream: DataFrame, config: ScanConfig, sink: Callable[[DataFrame, int], None], checkpoint: str, key: str = "idx", once: bool = True, seq: str = "seq") -> StreamingQuery:
+def filter_stream(stream: DataFrame, config: ScanConfig, sink: Callable[[DataFrame, int], None], checkpoint: str, once: bool = True, seq: str = "seq", hold: bool = True) -> StreamingQuery:
     """Start a query that hands the passing reads of each micro-batch to ``sink``; what it wrote before stays written.
 
-    ``key`` must be unique within a micro-batch.  The filter holds no state, so late or repeated input needs none.  Each
-    batch's progress has, under ``reads``, how many reads it had and how many of them were without a sequence."""
+    The filter holds no state, so late or repeated input needs none.  Each batch's progress has, under ``reads``, how many
+    reads it had and how many of them were without a sequence.  ``hold`` keeps a micro-batch, so that a sink may go through
+    its reads more than once and they still count once; a sink that goes through them once needs no such copy."""
 
     def each(batch: DataFrame, number: int) -> None:
-        held = batch.persist()  # read once, counted once
-        sink(reads.passing(held, config, key, seq), number)
-        held.unpersist()
+        held = batch.persist() if hold else batch
+        sink(reads.passing(held, config, seq), number)
+        if hold:
+            held.unpersist()
 
     lacks = F.col(seq).isNull() | F.col(seq).isin("", "*")
     counted = stream.observe("reads", F.count(F.lit(1)).alias("total"), F.count_if(lacks).alias("missing"))

@@ -3,14 +3,18 @@
 from __future__ import annotations
 
 import random
+import tracemalloc
 from collections import Counter
 
+import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from motifold.config import OptionError, ScanConfig, prefix_list
 from motifold.functions import columns as X
 from motifold.functions.patterns import expand, reverse_complement
-from motifold.operators import intervals, islands, matches, reads, report, select, simulate, summary, windows
+from motifold.operators import blocks, intervals, islands, matches, reads, report, select, simulate, summary, windows
 from motifold.plans.scan import Scan
 
 
@@ -113,6 +117,42 @@ def test_reads(spark):
     assert tuple(reads.counts(rows, ScanConfig()).first()) == (3, 1, 2)
 
 
+def test_passing_is_one_pass_and_agrees_with_blocks(spark):
+    seqs = random_sequences(7, 60) + ["é" + "CCCTAA" * 9, "CCCTAA" * 9 + "A" * 60 + "é" * 50 + "CCCTAA" * 9]
+    contig = spark.createDataFrame([(i, "", len(s or ""), 0, 0, len(s or ""), s or "") for i, s in enumerate(seqs)], "seq_pos long, header string, path_size long, contig_no int, contig_start long, contig_len long, bases string")
+    rows = contig.select(F.col("seq_pos").alias("idx"), F.col("bases").alias("seq"))
+    seen = set()
+    for options in ({}, {"edit_distance": 0}, {"edit_distance": 0, "min_block_length": 150, "max_block_distance": 20}, {"patterns": ("CCCTAA", "CCCTAAA", "TTAGGGTTAGGGTTAGGG"), "max_match_distance": 7, "min_block_length": 60}, {"min_block_density": 0.9, "min_matches": 5}):
+        c = ScanConfig(**options)
+        want = {r[0] for r in blocks.terminal_blocks(matches.matches(contig, c.for_reads().expanded()), c.for_reads()).select("seq_pos").collect()}
+        got = reads.passing(rows, c)
+        assert sorted(r["idx"] for r in got.collect()) == sorted(want)
+        seen.add(len(want))
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" not in plan and "Join" not in plan and "Window" not in plan
+    assert len(seen) > 2
+
+
+def test_kernel_looks_at_spans(monkeypatch):
+    """Matches of many spans are those of one, and memory follows the span, not the batch."""
+    rng = random.Random(5)
+    texts = ["".join(rng.choice("ACGTN") if rng.random() < 0.3 else rng.choice(["CCCTAA", "TTAGGG"]) for _ in range(rng.randint(0, 90))) for _ in range(40)]
+    kernel = matches.Kernel(ScanConfig(patterns=("CCCTAA", "CCCTAACCCTAA", "TTAGGG" * 6), edit_distance=0).expanded())
+    data, off = matches.ascii_texts(pa.array(texts))
+    whole = [x.tolist() for x in kernel.find(data, off)]
+    assert whole[0] == sorted(whole[0]) and len(set(kernel.length[whole[2]])) == 3
+    for span in (1, 7, 64, 1000):
+        monkeypatch.setattr(matches, "SPAN", span)
+        assert [x.tolist() for x in kernel.find(data, off)] == whole
+    monkeypatch.undo()
+    data = np.frombuffer(b"CATTGA" * (1 << 20), np.uint8)
+    tracemalloc.start()
+    kernel.find(data, np.array([0, len(data)]))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 4 * len(data)  # 40 times and more when all codes are made at once
+
+
 def test_selection(spark):
     records = spark.createDataFrame([(x,) for x in ("chr1", "chr10", "chr2", "scaf_1", "a%b", "axb")], "header string")
     ids = lambda *x: spark.createDataFrame([(i,) for i in x], "id string")
