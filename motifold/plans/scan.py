@@ -16,7 +16,7 @@ from ..operators import matches as M
 
 @dataclass
 class Scan:
-    """``sequences`` has ``seq_pos, header, seq``.  A tips-only scan looks at contigs' ends, a full one at windows."""
+    """``sequences`` has ``seq_pos, header, seq``.  A tips-only scan looks at contigs' ends, a full one at windows, a whole one at all."""
 
     sequences: DataFrame
     config: ScanConfig
@@ -36,6 +36,8 @@ class Scan:
     @cached_property
     def matches(self) -> DataFrame:
         found = M.matches(self.contigs, self.config.expanded())
+        if self.config.whole:
+            return found
         if self.config.full:
             return M.in_windows(found, self.config.window, self.config.step)
         return M.in_tips(found, self.config.terminal_limit)

@@ -50,6 +50,22 @@ def test_query(spark, tables, name):
     assert sorted((tuple(plain(r[c]) for c in names) for r in got.collect()), key=repr) == want
 
 
+@pytest.fixture(scope="module")
+def long_contigs(spark, tmp_path_factory):
+    """Contigs of more than twice the terminal limit: matches far inside, and runs of them across the limit at both ends."""
+    at, con = tmp_path_factory.mktemp("long"), duckdb.connect()
+    p, q = "bbbdaa", "ddaccc"  # what becomes CCCTAA and TTAGGG
+    rows = [(i, "a" * (49_940 - i % 5 * 180) + p * 40 + "a" * 10_000 + q * 3 + "h" * 9_000 + p + "a" * 9_000 + q + "a" * 30_000 + q * 40 + "a" * 49_900) for i in (1, 2, 5)] + [(3, "a" * 110_000 + p)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{at}/documents.parquet")
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{at}/documents.parquet/*.parquet'")
+    return str(at), con
+
+
+@pytest.mark.parametrize("name", ["match_islands", "terminal_blocks", "path_summary", "bed_round_trip"])
+def test_long_contigs(spark, long_contigs, name):
+    test_query(spark, long_contigs, name)
+
+
 def test_entry_points():
     known = __spark_entry__.queries()
     assert set(__spark_entry__.oracle_sql()) <= set(known) and "terminal_blocks" in known
