@@ -61,7 +61,7 @@ def long_contigs(spark, tmp_path_factory):
     return str(at), con
 
 
-@pytest.mark.parametrize("name", ["match_islands", "terminal_blocks", "path_summary", "bed_round_trip"])
+@pytest.mark.parametrize("name", ["match_islands", "motif_hits_exact", "terminal_blocks", "path_summary", "bed_round_trip"])
 def test_long_contigs(spark, long_contigs, name):
     test_query(spark, long_contigs, name)
 
