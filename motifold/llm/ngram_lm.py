@@ -89,17 +89,22 @@ class EliasFano:
         ones = np.zeros(((int(high[-1]) if n else 0) + n + 8) // 8 * 8, bool)
         ones[high + np.arange(n)] = True
         self.at = [file.tell()]
-        for lo in range(0, n, 1 << 14):  # whole bytes, whatever the width
-            part = values[lo : lo + (1 << 14)]
-            bits = (part[:, None] >> np.arange(self.low_bits, dtype=U)) & U(1)
-            file.write(np.packbits(bits.astype(bool).ravel(), bitorder="little").tobytes())
+        for lo in range(0, n if self.low_bits else 0, 1 << 17):
+            part = values[lo : lo + (1 << 17)] & U((1 << self.low_bits) - 1)
+            part = np.append(part, np.zeros(-len(part) % 8, U)).reshape(-1, 8)
+            packed = np.zeros((len(part), self.low_bits + 8), np.uint8)
+            for j in range(8):  # eight values take whole bytes, whatever the width
+                byte, shift = j * self.low_bits >> 3, U(j * self.low_bits & 7)
+                packed[:, byte : byte + 8] |= np.ascontiguousarray(part[:, j] << shift, "<u8").view(np.uint8).reshape(-1, 8)
+            file.write(packed[:, : self.low_bits].tobytes())
         self.at.append(file.write(bytes(8)) + file.tell() - 8)
         self.at.append(file.write(np.packbits(ones, bitorder="little").tobytes()))
         file.write(bytes(8))
 
     def open(self, data: np.ndarray) -> EliasFano:
         low, unary, size = self.at
-        self.low, unary = data[low:unary], data[unary : unary + size]
+        # eight bytes from each byte on; as many follow the last value's
+        self.low, unary = np.ndarray((max(0, unary - low - 7),), "<u8", data[low:unary], strides=(1,)), data[unary : unary + size]
         # where each value of the high bits begins: select over the zeros
         zeros = np.flatnonzero(np.unpackbits(unary, bitorder="little") == 0)
         self.starts = np.concatenate([[0], zeros - np.arange(len(zeros))]).astype(np.uint32 if self.n < 1 << 32 else np.int64)
@@ -109,11 +114,7 @@ class EliasFano:
         if not self.low_bits:
             return np.zeros(len(i), U)
         at = i * self.low_bits
-        byte, shift = at >> 3, (at & 7).astype(U)
-        word = np.zeros(len(i), U)
-        for k in range(8):
-            word |= self.low[byte + k].astype(U) << U(8 * k)
-        return (word >> shift) & U((1 << self.low_bits) - 1)
+        return (self.low[at >> 3] >> (at & 7).astype(U)) & U((1 << self.low_bits) - 1)
 
     def get(self, i: np.ndarray) -> np.ndarray:
         high = np.searchsorted(self.starts, i, "right") - 1
@@ -127,13 +128,13 @@ class EliasFano:
         lo, hi = self.starts[high].astype(np.int64), np.where(inside, self.starts[np.minimum(high + 1, len(self.starts) - 1)], 0).astype(np.int64)
         hi = np.minimum(np.where(inside, hi, lo), self.n)
         low = values & U((1 << self.low_bits) - 1) if self.low_bits else np.zeros(len(values), U)
-        end = hi.copy()
-        while (lo < hi).any():  # all searches go on together
-            mid = (lo + hi) // 2
-            open_ = lo < hi
-            less = np.zeros(len(lo), bool)
-            less[open_] = self._lows(mid[open_]) < low[open_]
-            lo, hi = np.where(open_ & less, mid + 1, lo), np.where(open_ & ~less, mid, hi)
+        end, open_ = hi.copy(), np.flatnonzero(lo < hi)
+        while len(open_):  # all searches go on together
+            mid = (lo[open_] + hi[open_]) // 2
+            less = self._lows(mid) < low[open_]
+            lo[open_[less]] = mid[less] + 1
+            hi[open_[~less]] = mid[~less]
+            open_ = open_[lo[open_] < hi[open_]]
         hit = lo < end
         hit[hit] = self._lows(lo[hit]) == low[hit]
         return np.where(hit, lo, -1)
@@ -142,16 +143,21 @@ class EliasFano:
 class Trie:
     """One level: contexts and their successors, in a memory-mapped file that is gone once the trie is."""
 
-    def __init__(self, v: np.ndarray, w: np.ndarray, count: np.ndarray, total: np.ndarray):
-        """n-grams in any order, some repeated: context, fingerprint of the successor, occurrences; ``total`` is how often
-        an n-gram's context occurs where that is known, else 0 and all its n-grams are here."""
+    def __init__(self, v: np.ndarray, w: np.ndarray, count: np.ndarray, total: np.ndarray, k: np.ndarray | int = 1):
+        """n-grams in any order, some repeated: contexts, fingerprints of ``k`` successors of each, their occurrences;
+        ``total`` is how often a context occurs where that is known, else 0 and all its n-grams are here.  ``asked`` are
+        the different n-grams, ``which`` the place of each in them."""
         contexts, index = np.unique(v, return_inverse=True)
         known = np.zeros(len(contexts), np.int64)
         np.maximum.at(known, index, total.astype(np.int64))
+        index = np.repeat(index, k)
         sums = np.bincount(index, count, len(contexts)).astype(np.int64)
         totals = np.where(known > 0, known, sums)
-        key, back = np.unique(index.astype(U) << U(PRINT) | w, return_inverse=True)
-        count = np.bincount(back, count, len(key))
+        key, self.which = np.unique(index.astype(U) << U(PRINT) | w, return_inverse=True)
+        count = np.bincount(self.which, count, len(key))
+        of = (key >> U(PRINT)).astype(np.int64)
+        new = np.flatnonzero(np.diff(of, prepend=-1))
+        self.asked = contexts[of[new]], np.diff(np.append(new, len(key))), key & U((1 << PRINT) - 1)
         key, count = key[count > 0], count[count > 0]
         of = (key >> U(PRINT)).astype(np.int64)
         code = np.rint(-np.log10((1 - BETA) * count / np.maximum(totals[of], 1)) * GRID)
@@ -370,8 +376,8 @@ def _answer(key: tuple[pa.Scalar, ...], parts: Iterator[pa.RecordBatch]) -> Iter
     """A shard's part of a level, built of all questions; what each finds in it."""
     rows = [(r["block"].as_py(), unpack_bits(r["contexts"], CONTEXT), unpack_planes(r["sizes"]), unpack_bits(r["successors"], PRINT)[unpack_planes(r["which"])], unpack_planes(r["counts"]), unpack(r["totals"], np.int64)) for r in _each(parts)]
     v, k, w, n, total = (np.concatenate([r[i] for r in rows]) for i in range(1, 6))
-    trie = Trie(np.repeat(v, k), w, n, np.repeat(total, k))
-    found = trie.find(v, k, w)
+    trie = Trie(v, w, n, total, k)
+    found = trie.find(*trie.asked)[trie.which]  # what many blocks ask is looked up once
     at = 0
     for block, _, _, own, *_ in rows:
         yield from _rows([(key[0].as_py(), block, pack(found[at : at + len(own)]), None, None)], ANSWER).to_batches()

@@ -580,6 +580,22 @@ def test_elias_fano(tmp_path):
     assert np.allclose(share(hot.find(v[::4], np.full(50, 4), w)), 0.6 / 1000, rtol=3e-4)
 
 
+def test_trie_looks_up_once(monkeypatch):
+    """What many blocks ask of a shard is looked up once, and each gets its answer."""
+    import pyarrow as pa
+
+    from motifold.llm import ngram_lm as m
+
+    v, w, seen = np.arange(20, dtype=np.uint64) * np.uint64(977), np.arange(60, dtype=np.uint64) * np.uint64(31), []
+    order = np.random.default_rng(1).permutation(60)
+    block = lambda i, n: (0, i, m.pack_bits(v, m.CONTEXT), m.pack_planes(np.full(20, 3)), m.pack_bits(w[np.argsort(order)], m.PRINT), m.pack_planes(order), m.pack_planes(np.full(60, n)), m.pack(np.zeros(20, np.int64)))
+    find = m.Trie.find
+    monkeypatch.setattr(m.Trie, "find", lambda self, v, k, w: seen.append(len(w)) or find(self, v, k, w))
+    got = pa.Table.from_batches(m._answer((pa.scalar(0),), iter(m._rows([block(i, i % 2) for i in range(5)], m.ASKED).to_batches())))
+    assert sum(seen) == 60 and got.column("block").to_pylist() == list(range(5))
+    assert all(np.allclose(m.share(m.unpack(x, np.uint16)), 0.6 / 3, rtol=3e-4) for x in got.column("found"))
+
+
 def test_near_vectors(spark, monkeypatch):
     from motifold.llm import near_vectors as nv
 
