@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import BINARY, DOUBLE, INT, LONG, STRING, discard, schema, stored
+from .shared import BINARY, DOUBLE, INT, LONG, STRING, discard, schema, stored, trimmed
 
 #: Labelled rows that the fit uses at most, and the least count of a word that gets a row.
 FIT_ROWS, LEAST = 6000, 8
@@ -147,8 +147,13 @@ class Names:
         return out.reshape(-1, DIM)
 
 
+def unit(near: np.ndarray) -> np.ndarray:
+    """Sums of neighbours at length one."""
+    return (near / np.maximum(np.linalg.norm(near, axis=1, keepdims=True), 1e-9)).astype(np.float32)
+
+
 class Model:
-    """Word vectors, and the network once ``fitted``."""
+    """Word vectors (from sums of neighbours, or these at length one), and the network once ``fitted``."""
 
     def __init__(self, names: Names, near: np.ndarray):
         self.words, self.shapes, self._rows = names.words, names.shapes, None
@@ -157,7 +162,8 @@ class Model:
         rows = names.rows()
         for i, w in enumerate(self.words):  # a word with a row also has its shape's vector, the mean of its pieces'
             base[i] += base[[rows.shapes[s] for s in shapes(w)]].mean(0)
-        self.vectors = base + (near / np.maximum(np.linalg.norm(near, axis=1, keepdims=True), 1e-9)).astype(np.float32)
+        base += near if near.dtype == np.float32 else unit(near)
+        self.vectors = base
         self.fitted(np.zeros((0, DIM + 1)), np.zeros(0))
 
     def fitted(self, pooled: np.ndarray, labels: np.ndarray) -> Model:
@@ -252,14 +258,17 @@ def fit(documents: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Model:
         for part in parts:
             for row, x in zip(part.column("row").to_pylist(), part.column("sums"), strict=True):
                 sums[row] = sums.get(row, 0) + np.frombuffer(x.as_buffer(), np.int32).astype(np.int64)
-        yield pa.RecordBatch.from_pydict({"row": pa.array(sums.keys(), pa.int32()), "sums": pa.array([x.tobytes() for x in sums.values()], pa.binary())})
+        yield pa.RecordBatch.from_pydict({"row": pa.array(sums.keys(), pa.int32()), "sums": pa.array([x.tobytes() for x in unit(np.stack(list(sums.values())))], pa.binary())})
 
-    out = np.zeros((len(names.all), DIM), np.int64)
+    out = np.zeros((len(names.all), DIM), np.float32)
     # as large as the model
     found = sample.select("text").mapInArrow(near, schema(row=INT, sums=BINARY)).groupBy((F.col("row") % 64).alias("part")).applyInArrow(add, schema(row=INT, sums=BINARY)).toArrow()
-    for row, x in zip(found.column(0).to_pylist(), found.column(1), strict=True):
-        out[row] = np.frombuffer(x.as_buffer(), np.int64)
+    for part in found.to_batches():
+        out[np.asarray(part.column(0))] = np.frombuffer(b"".join(part.column(1).to_pylist()), np.float32).reshape(-1, DIM)
+    sent.destroy()  # the driver's copy too
+    del found, counts
     model = Model(names, out)
+    del out
     with_vectors = spark.sparkContext.broadcast(model)
 
     def pool(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -267,9 +276,9 @@ def fit(documents: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Model:
             yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0), "quality": batch.column(2), "pooled": pa.array([with_vectors.value.pooled(x).tobytes() for x in batch.column(1).to_pylist()], pa.binary())})
 
     pooled = sorted(sample.select("doc_id", "text", "quality").mapInArrow(pool, schema(doc_id=LONG, quality=INT, pooled=BINARY)).collect(), key=lambda r: (r[0], bytes(r[2])))
-    sent.unpersist()
-    with_vectors.unpersist()
+    with_vectors.destroy()
     discard(spark, sample_at)
+    trimmed(spark)
     return model.fitted(np.frombuffer(b"".join(bytes(r[2]) for r in pooled), np.float32).reshape(-1, DIM + 1), np.array([r[1] for r in pooled], np.float32))
 
 

@@ -596,6 +596,26 @@ def test_trie_looks_up_once(monkeypatch):
     assert all(np.allclose(m.share(m.unpack(x, np.uint16)), 0.6 / 3, rtol=3e-4) for x in got.column("found"))
 
 
+def test_driver_gives_back(spark, monkeypatch):
+    """Each stored table is followed by a trim of the driver, and a fit leaves none of its broadcasts there."""
+    from pyspark.core.broadcast import Broadcast
+
+    from motifold.llm import quality as q
+    from motifold.llm import shared
+
+    assert shared.trimmed(spark)
+    trims, gone, trimmed, destroy = [], [], shared.trimmed, Broadcast.destroy
+    monkeypatch.setattr(shared, "trimmed", lambda s: trims.append(1) or trimmed(s))
+    monkeypatch.setattr(Broadcast, "destroy", lambda self, *a: gone.append(1) or destroy(self, *a))
+    shared.stored(spark.range(3), "few")
+    assert len(trims) == 1
+    docs = spark.createDataFrame([(i, "good words here " * 9 if i % 2 else "x;1 " * 20) for i in range(60)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, quality int")
+    model = q.fit(docs, labels)
+    assert len(gone) == 2 and model.vectors.dtype == np.float32
+    assert q.scored(docs, model).where("predicted <> doc_id % 2").count() == 0
+
+
 def test_near_vectors(spark, monkeypatch):
     from motifold.llm import near_vectors as nv
 
